@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _DROP = dict.fromkeys(
     cp for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp)) in ("Mn", "Cf", "Me")
@@ -284,7 +285,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, whole: bool = False, **opti
         return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
     spans = leaks.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "last_word")).alias("__spans"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut_out(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, s in zip(text, spans):

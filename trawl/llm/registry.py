@@ -4,10 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import leaks
+from trawl.llm import leaks, lookalikes, mixing, survivors
 from trawl.runtime import table
 
 
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.surviving_files(
+        table(spark, sf_dir, "files"), table(spark, sf_dir, "index_roots"), table(spark, sf_dir, "meta")
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir).select("hash_hex", "keep_id")
+
+
+def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.same_looking(table(spark, sf_dir, "files"))
+
+
+def p3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "files").select("id", lookalikes.one_form("name").alias("name"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -18,8 +48,29 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_clean": p6_clean}
+    return {
+        "p1_found": p1_found,
+        "p1_fused": p1_fused,
+        "p3_found": p3_found,
+        "p3_names": p3_names,
+        "p6_found": p6_found,
+        "p6_clean": p6_clean,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": """
+            WITH until AS (SELECT max(CAST(value AS BIGINT)) AS u FROM meta WHERE key = 'last_full_index'),
+            g AS (SELECT *, count(*) OVER (PARTITION BY hash) AS n FROM files WHERE hash IS NOT NULL AND size > 0),
+            r AS (SELECT g.*, (SELECT max_by(trust, length(root)) FROM index_roots
+                               WHERE starts_with(g.path, root || '/')) AS trust FROM g WHERE n >= 2)
+            SELECT lower(hex(hash)) AS hash_hex, id AS keep_id FROM (
+                SELECT *, row_number() OVER (PARTITION BY hash ORDER BY
+                    (mime IS NOT NULL)::INT + coalesce(content_state = 1, false)::INT DESC, trust DESC NULLS LAST,
+                    CASE WHEN mtime BETWEEN 1 AND (SELECT u FROM until) THEN mtime ELSE 0 END DESC, id) AS rn FROM r)
+            WHERE rn = 1
+        """,
+    }
