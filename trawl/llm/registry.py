@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import leaks, lookalikes, mixing, survivors
+from trawl.llm import leaks, lookalikes, mixing, residue, survivors
 from trawl.runtime import table
 
 
@@ -47,6 +47,14 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(docs, table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_lines(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -57,6 +65,8 @@ def queries() -> dict:
         "p6_clean": p6_clean,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p8_found": p8_found,
+        "p8_lines": p8_lines,
     }
 
 
