@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import leaks, lookalikes, mixing, residue, survivors
+from trawl.llm import leaks, lookalikes, mixing, mojibake, residue, survivors
 from trawl.runtime import table
 
 
@@ -38,6 +38,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.damaged_files(table(spark, sf_dir, "documents_text"))
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(table(spark, sf_dir, "documents_text"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -61,6 +69,8 @@ def queries() -> dict:
         "p1_fused": p1_fused,
         "p3_found": p3_found,
         "p3_names": p3_names,
+        "p4_found": p4_found,
+        "p4_restored": p4_restored,
         "p6_found": p6_found,
         "p6_clean": p6_clean,
         "p7_mix": p7_mix,
