@@ -78,12 +78,16 @@ def ignored(path: Column, patterns: tuple[str, ...] | list[str]) -> Column:
     if literal:
         test = test | F.arrays_overlap(parts, F.array(*map(F.lit, literal)))
     for p in component:
-        test = test | F.exists(parts, lambda c, p=p: F.regexp_like(c, F.lit(glob_regex(p))))
+        test = test | F.exists(parts, _fits(p))
     for p in whole:
         test = test | F.regexp_like(path, F.lit(glob_regex(p)[:-2] + "(?:/.*)?\\z"))
     return test
 
 
+def _fits(pattern: str):
+    return lambda c: F.regexp_like(c, F.lit(glob_regex(pattern)))
+
+
 def glob_regex(pattern: str) -> str:
     """An anchored Java pattern for a glob."""
     body = fnmatch.translate(pattern)

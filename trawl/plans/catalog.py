@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.plans import change_queries
+from trawl.plans import change_queries, event_queries, report_queries, search_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [change_queries]
+_MODULES = [search_queries, report_queries, event_queries, change_queries]
 
 
 def queries() -> dict[str, Query]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: v for m in _MODULES for k, v in m.SQL.items()}
 
 
-FLAGSHIP: Query = change_queries.QUERIES["p5_found"]
+FLAGSHIP: Query = search_queries.QUERIES["search_phrase"]
