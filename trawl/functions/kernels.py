@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from trawl.functions.text import contains_any_case
+
 SNIPPET = StructType(
     [
         StructField("window", StringType()),
@@ -93,6 +96,63 @@ class Approximate:
     def count(self, text: bytes) -> int:
         return sum(1 for _ in self.ends(text, True))
 
+    def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """best() (-1 for none) and count() of many texts, the same step for all of them at once."""
+        best, count = np.full(len(texts), -1, np.int32), np.zeros(len(texts), np.int32)
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        masks = np.zeros(256, np.uint64)
+        for b, m in self.masks.items():
+            masks[b] = m
+        at = 0
+        while at < len(order):  # texts of like length, a few megabytes at a time
+            end, longest = at, 0
+            while end < len(order) and (end + 1 - at) * max(longest, len(texts[order[end]]), 1) <= 4_000_000:
+                longest = max(longest, len(texts[order[end]]))
+                end += 1
+            end = max(end, at + 1)
+            part = order[at:end]
+            longest = len(texts[part[-1]])
+            grid = np.frombuffer(b"".join(texts[i].ljust(longest, b"\0") for i in part), np.uint8).reshape(len(part), longest)
+            sizes = np.array([len(texts[i]) for i in part])
+            b, c = self._grid(masks[grid.T.copy()], sizes)
+            best[part], count[part] = b, c
+            at = end
+        return best, count
+
+    def _grid(self, masks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, one, hit = len(sizes), np.uint64(1), np.uint64(self.hit)
+        least, count = np.full(n, self.k + 1, np.int32), np.zeros(n, np.int32)
+        free = [np.full(n, f, np.uint64) for f in self.fresh]  # goes on over matches, for the best
+        anew = [np.full(n, f, np.uint64) for f in self.fresh]  # begins again behind each, for the count
+        first = 0  # texts are in order of length: those before `first` are through
+        for at, row in enumerate(masks):
+            while first < n and sizes[first] <= at:
+                first += 1
+            live = slice(first, n)
+            mask = row[live]
+            for rows, fresh in ((free, False), (anew, True)):
+                above = old = None
+                for d in range(self.k + 1):
+                    cur = rows[d][live]
+                    grown = (cur << one | one) & mask
+                    if d:
+                        grown |= old | old << one | above << one | one
+                    old, above = cur.copy(), grown
+                    rows[d][live] = grown
+                if fresh:
+                    over = (rows[self.k][live] & hit) != 0  # a row of more edits holds those of fewer
+                    if over.any():
+                        count[live] += over
+                        for d in range(self.k + 1):
+                            rows[d][live] = np.where(over, np.uint64(self.fresh[d]), rows[d][live])
+                else:
+                    for d in range(self.k, -1, -1):
+                        over = (rows[d][live] & hit) != 0
+                        if not over.any():
+                            break
+                        np.minimum(least[live], np.where(over, d, self.k + 1), out=least[live])
+        return np.where(least > self.k, -1, least), count
+
     def first(self, text: bytes, pattern: bytes) -> tuple[int, int] | None:
         """Byte range of the first match, at its cheapest end within k bytes."""
         for end, edits in self.ends(text, True):
@@ -114,36 +174,35 @@ class Approximate:
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def _over_bytes(col: Column, folded_term: str, k: int, of: Callable[[Approximate, bytes], int | None]) -> Column:
+def _over_bytes(col: Column, folded_term: str, k: int, counted: bool) -> Column:
     @F.pandas_udf(IntegerType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = Approximate(folded_term.encode(), k)
         for texts in batches:
-            yield pd.Series(
-                [None if t is None else of(machine, t.encode().translate(_FOLD)) for t in texts], dtype="Int32"
-            )
+            there = np.flatnonzero(texts.notna().to_numpy())
+            best, count = machine.many([texts.iat[i].encode().translate(_FOLD) for i in there])
+            out = np.full(len(texts), -1, np.int32)
+            out[there] = count if counted else best
+            yield pd.Series(out, dtype="Int32").mask(out < 0)
 
     return run(col)
 
 
 def best_distance(col: Column, folded_term: str, k: int) -> Column:
     """Fewest edits between the term and any substring, ASCII case ignored; NULL beyond k and for NULL."""
-    return _over_bytes(col, folded_term, k, Approximate.best)
+    return _over_bytes(col, folded_term, k, False)
 
 
 def fuzzy_count(col: Column, folded_term: str, k: int) -> Column:
-    """Matches within k edits, each search starting behind the last match."""
-    return _over_bytes(col, folded_term, k, Approximate.count)
+    """Matches within k edits, each search starting behind the last match; NULL for NULL."""
+    return _over_bytes(col, folded_term, k, True)
 
 
-def may_be_near(folded: Column, folded_term: str, k: int) -> Column:
+def may_be_near(col: Column, folded_term: str, k: int) -> Column:
     """True wherever a match within k edits may be: of k + 1 pieces of the term one is intact."""
     n, pieces = len(folded_term), k + 1
     cuts = [n * i // pieces for i in range(pieces + 1)]
-    test: Column = F.lit(False)
-    for a, b in zip(cuts, cuts[1:]):
-        test = test | (folded.contains(folded_term[a:b]) if b > a else F.lit(True))
-    return test
+    return contains_any_case(col, *[folded_term[a:b] for a, b in zip(cuts, cuts[1:])])
 
 
 def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

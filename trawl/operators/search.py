@@ -1,7 +1,8 @@
 """Ranked search: eleven tiers over names, bodies and paths in one pass over the catalog.
 
 Each file is one row and takes the first tier that accepts it, so there is nothing to
-deduplicate and nothing to shuffle but the join with the stored texts and the final top-k.
+deduplicate. Bodies are searched where they are read: what is joined with the catalog is a
+row of counts per body that matched, never a text.
 """
 
 from __future__ import annotations
@@ -57,29 +58,40 @@ def hits(
     p = query.pattern
     term = ascii_lower(query.term)
     budget = kernels.edit_budget(len(term.encode()), max_edits) if fuzzy and p.literal is not None else None
-    with_body = texts is not None and (p.chars >= FLOOR or budget is not None or query.regex is not None)
-    if with_body:
-        rows = rows.join(_bodies(texts), "id", "left")
+    long_enough = p.chars >= FLOOR
+    bodies = _body_hits(texts, p, term, budget, query) if texts is not None else None
+    if bodies is not None:
+        rows = rows.join(bodies, "id", "left")
     else:
-        rows = rows.withColumn("text", F.lit(None).cast("string"))
+        none = [F.lit(None).cast("int").alias(c) for c in ("__same", "__any", "__near")]
+        rows = rows.select("*", *none, F.lit(None).cast("boolean").alias("__rx"))
 
-    # What any accepted row must meet, cheap and before the rank, so the rank is computed once.
+    # What any accepted row must meet, cheap and before the rank.
     may = p.holds_all(F.col("path")) | p.holds_all(F.col("name"))
-    if with_body and p.chars >= FLOOR:
-        may = may | F.coalesce(p.inside(F.col("text"), True), F.lit(False))
+    may = may | F.coalesce(F.greatest("__any", "__near") > 0, F.lit(False))
     if budget is not None:
-        for c in ("name", "path", "text"):
-            may = may | F.coalesce(kernels.may_be_near(ascii_fold(c), term, budget), F.lit(False))
-    if grams is not None and p.chars >= FLOOR:
+        may = may | kernels.may_be_near(F.col("name"), term, budget) | kernels.may_be_near(F.col("path"), term, budget)
+    if grams is not None and long_enough:
         rows = rows.join(_indexed(grams, p.segments), "id", "left")
+        if texts is not None:
+            stored = texts.filter("text is not null").select(F.col("file_id").alias("id")).distinct()
+            rows = rows.join(stored.withColumn("__stored", F.lit(True)), "id", "left")
+        else:
+            rows = rows.withColumn("__stored", F.lit(None).cast("boolean"))
         may = may | F.col("__indexed").isNotNull()
     rows = rows.filter(may)
     if query.regex is not None:
-        rows = _accept(rows, query.regex.pattern, with_body)
-
-    tiers = [*_name_tiers(p), *(_body_tiers(p) if p.chars >= FLOOR and with_body else [])]
-    if grams is not None and p.chars >= FLOOR:
-        tiers.append((6, F.col("text").isNull() & F.col("__indexed").isNotNull(), F.lit(6.999)))
+        fits = kernels.re2_match(F.col("path"), query.regex.pattern)
+        rows = rows.filter(F.coalesce("__rx", F.lit(False)) | fits)
+
+    tiers = _name_tiers(p)
+    if long_enough:
+        tiers += [
+            (5, F.col("__same") > 0, F.lit(5.0) + count_fraction(F.col("__same"))),
+            (6, F.col("__any") > 0, F.lit(6.0) + count_fraction(F.col("__any"))),
+        ]
+    if grams is not None and long_enough:
+        tiers.append((6, F.col("__stored").isNull() & F.col("__indexed").isNotNull(), F.lit(6.999)))
     exact = _first(tiers)
     if budget is None:
         return _finish(rows.withColumn("__hit", F.coalesce(exact, _first(_path_tiers(p)))))
@@ -87,29 +99,48 @@ def hits(
     # Only rows no exact tier took go through the fuzzy kernels: the others hand over NULL.
     rows = rows.withColumn("__exact", exact)
     left = F.col("__exact").isNull()
-    near = {c: left & F.coalesce(kernels.may_be_near(ascii_fold(c), term, budget), F.lit(False)) for c in ("name", "path", "text")}
+    near = {c: F.when(left & kernels.may_be_near(F.col(c), term, budget), F.col(c)) for c in ("name", "path")}
     rows = rows.select(
         "*",
-        kernels.best_distance(F.when(near["name"], F.col("name")), term, budget).alias("__dn"),
-        kernels.fuzzy_count(F.when(near["text"], F.col("text")), term, budget).alias("__nb"),
-        (
-            kernels.best_distance(F.when(near["path"], F.col("path")), term, budget)
-            if p.chars >= FLOOR
-            else F.lit(None).cast("int")
-        ).alias("__dp"),
+        kernels.best_distance(near["name"], term, budget).alias("__dn"),
+        (kernels.best_distance(near["path"], term, budget) if long_enough else F.lit(None).cast("int")).alias("__dp"),
     )
     hit = F.coalesce(
         F.col("__exact"),
         _first([(7, F.col("__dn").isNotNull(), F.lit(7.0) + F.lit(0.1) * F.col("__dn"))]),
-        _first([(8, F.col("__nb") > 0, F.lit(8.0) + count_fraction(F.col("__nb")))]),
+        _first([(8, F.col("__near") > 0, F.lit(8.0) + count_fraction(F.col("__near")))]),
         _first(_path_tiers(p)),
         _first([(11, F.col("__dp").isNotNull(), F.lit(11.0) + F.lit(0.1) * F.col("__dp"))]),
     )
     return _finish(rows.withColumn("__hit", hit))
 
 
-def _bodies(texts: DataFrame) -> DataFrame:
-    return texts.select(F.col("file_id").alias("id"), "text")
+def _body_hits(texts: DataFrame, p, term: str, budget: int | None, query: Query) -> DataFrame | None:
+    """(id, __same, __any, __near, __rx): of each body that may count, how often it holds the term.
+
+    The text itself stays behind. Scanned once, filtered where it is read; None if the term
+    is too short to be looked for in bodies and nothing else asks for them.
+    """
+    text = F.col("text")
+    long_enough = p.chars >= FLOOR
+    if not long_enough and budget is None and query.regex is None:
+        return None
+    rows = texts.filter("text is not null").select(F.col("file_id").alias("id"), "text")
+    none = F.lit(None).cast("int")
+    inside = p.inside(text, True) if long_enough else F.lit(False)
+    close = kernels.may_be_near(text, term, budget) if budget is not None else F.lit(False)
+    if query.regex is not None:
+        # A file counts if the expression fits its path too, so bodies that hold the term stay.
+        rows = rows.withColumn("__rx", kernels.re2_match(text, query.regex.pattern)).filter(F.col("__rx") | inside | close)
+    else:
+        rows = rows.filter(inside | close).withColumn("__rx", F.lit(False))
+    return rows.select(
+        "id",
+        (F.when(p.inside(text, False), p.count(text, False)) if long_enough else none).alias("__same"),
+        (F.when(inside, p.count(text, True)) if long_enough else none).alias("__any"),
+        (kernels.fuzzy_count(F.when(~inside & close, text), term, budget) if budget is not None else none).alias("__near"),
+        "__rx",
+    )
 
 
 def _first(tiers: list[tuple[int, Column, Column]]) -> Column:
@@ -131,15 +162,6 @@ def _name_tiers(p) -> list:
     ]
 
 
-def _body_tiers(p) -> list:
-    text = F.col("text")
-    same, any_case = p.count(text, False), p.count(text, True)
-    return [
-        (5, p.inside(text, False), F.lit(5.0) + count_fraction(same)),
-        (6, p.inside(text, True), F.lit(6.0) + count_fraction(any_case)),
-    ]
-
-
 def _path_tiers(p) -> list:
     if p.chars < FLOOR:
         return []
@@ -147,24 +169,15 @@ def _path_tiers(p) -> list:
     return [(9, p.inside(path, False), F.lit(9.0)), (10, p.holds_all(path) & p.inside(path, True), F.lit(10.0))]
 
 
-def _accept(rows: DataFrame, pattern: str, with_body: bool) -> DataFrame:
-    """Rows whose path or stored body the expression matches."""
-    test = kernels.re2_match(F.col("path"), pattern)
-    if with_body:
-        test = test | kernels.re2_match(F.col("text"), pattern)
-    return rows.filter(test)
-
-
 def _regex_only(rows: DataFrame, texts: DataFrame | None, query: Query) -> DataFrame:
     pattern = query.regex.pattern
-    rows = rows.join(_bodies(texts), "id", "left") if texts is not None else rows.withColumn("text", F.lit(None).cast("string"))
-    rows = rows.select(
-        "*",
-        kernels.re2_match(F.col("name"), pattern).alias("__n"),
-        kernels.re2_count(F.col("text"), pattern).alias("__b"),
-        kernels.re2_match(F.col("path"), pattern).alias("__p"),
-    )
-    return rows.withColumn(
+    if texts is not None:
+        counted = texts.select(F.col("file_id").alias("id"), kernels.re2_count(F.col("text"), pattern).alias("__b"))
+        rows = rows.join(counted.filter("__b > 0"), "id", "left")
+    else:
+        rows = rows.withColumn("__b", F.lit(None).cast("int"))
+    name, path = (kernels.re2_match(F.col(c), pattern) for c in ("name", "path"))
+    return rows.select("*", name.alias("__n"), path.alias("__p")).withColumn(
         "__hit",
         _first(
             [

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trawl.functions.text import ascii_fold, ascii_lower, count_literal
+from trawl.functions.text import ascii_fold, ascii_lower, contains_any_case, count_any_case, count_literal, quoted
 from trawl.query.errors import BadRegex
 
 MAX_COUNT = 1000
@@ -62,7 +62,7 @@ class Pattern:
 
     def _java(self, joint: str, ci: bool, anchored: bool) -> str:
         # (?d): only \n ends a line, as elsewhere; \z: not before a final line break either.
-        core = joint.join("\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in self.segments)
+        core = joint.join(map(quoted, self.segments))
         if anchored:
             core = "\\A" + (".*" if self.leading else "") + core + (".*" if self.trailing else "") + "\\z"
         return ("(?diu)" if ci else "(?d)") + core
@@ -76,21 +76,20 @@ class Pattern:
     def inside(self, col: Column, ci: bool) -> Column:
         """The text holds the term."""
         if self.literal is not None:
-            return ascii_fold(col).contains(ascii_lower(self.literal)) if ci else col.contains(self.literal)
+            return contains_any_case(col, self.literal) if ci else col.contains(self.literal)
         return F.regexp_like(col, F.lit(self._java(".*?", ci, False)))
 
     def holds_all(self, col: Column, ci: bool = True) -> Column:
         """A cheap condition every match meets: all literal pieces occur, ASCII case ignored."""
-        folded = ascii_fold(col) if ci else col
         test: Column = F.lit(True)
         for s in self.segments:
-            test = test & folded.contains(ascii_lower(s) if ci else s)
+            test = test & (contains_any_case(col, s) if ci else col.contains(s))
         return test
 
     def count(self, col: Column, ci: bool) -> Column:
         """Occurrences that don't overlap, at most MAX_COUNT for wildcards."""
         if self.literal is not None:
-            return count_literal(ascii_fold(col) if ci else col, ascii_lower(self.literal) if ci else self.literal)
+            return count_any_case(col, self.literal) if ci else count_literal(col, self.literal)
         return F.least(F.regexp_count(col, F.lit(self._java(".*?", ci, False))), F.lit(MAX_COUNT))
 
     def python(self, ci: bool) -> re.Pattern:
