@@ -39,6 +39,8 @@ class Quality:
     prior: float
 
     def log_odds(self, pattern: Column) -> Column:
+        if not self.sensitivity:
+            return F.lit(0.0)
         yes = F.create_map(*[F.lit(x) for s in self.sensitivity for x in (s, self._yes(s))])
         no = F.create_map(*[F.lit(x) for s in self.sensitivity for x in (s, self._no(s))])
         return F.aggregate(
