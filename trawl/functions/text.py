@@ -78,9 +78,14 @@ def under(path: Column, folder: str) -> Column:
     return (path >= base + "/") & (path < base + "0")
 
 
-def ignored(path: Column, patterns: tuple[str, ...] | list[str]) -> Column:
-    """The path is ignored: a pattern without separator fits one of its components, or a
-    pattern with one fits the path or a folder above it. '*' crosses separators."""
+def below(path: Column, root: str) -> Column:
+    """What follows the root in a path under it."""
+    return F.substring(path, len(root.rstrip("/")) + 1, 1 << 30) if root else path
+
+
+def ignored(path: Column, patterns: tuple[str, ...] | list[str], root: str = "") -> Column:
+    """The path is ignored: a pattern without separator fits one of its components below the
+    root, or a pattern with one fits the path or a folder above it. '*' crosses separators."""
     component, whole, literal = [], [], []
     for p in (p.strip() for p in patterns):
         p = p.rstrip("/\\") or p
@@ -93,7 +98,7 @@ def ignored(path: Column, patterns: tuple[str, ...] | list[str]) -> Column:
         else:
             literal.append(p)
     test: Column = F.lit(False)
-    parts = F.split(path, "/")
+    parts = F.split(below(path, root), "/")
     if literal:
         test = test | F.arrays_overlap(parts, F.array(*map(F.lit, literal)))
     for p in component:
@@ -116,5 +121,4 @@ def glob_regex(pattern: str) -> str:
 
 def hidden(path: Column, root: str = "") -> Column:
     """A component below the root begins with a dot; the root itself is exempt."""
-    below = F.substring(path, len(root.rstrip("/")) + 1, 1 << 30) if root else path
-    return F.exists(F.split(below, "/"), lambda c: c.startswith("."))
+    return F.exists(F.split(below(path, root), "/"), lambda c: c.startswith("."))

@@ -85,8 +85,7 @@ def covers(config: Config, path: Column) -> Column:
     """A walk under these settings would still come to this path."""
     inside: Column = F.lit(False)
     for root in config.roots:
-        below = F.substring(path, len(root.rstrip("/")) + 1, 1 << 30)
-        here = under(path, root) & ~ignored(below, config.ignore)
+        here = under(path, root) & ~ignored(path, config.ignore, root)
         if not config.include_hidden:
             here = here & ~hidden(path, root)
         inside = inside | here

@@ -203,7 +203,7 @@ def _covered() -> str:
         part = f"string_split({below}, '/')"
         tests.append(
             f"(path >= '{r}/' AND path < '{r}0' AND NOT list_contains({part}, 'inbox') AND len(list_filter({part}, lambda c: c LIKE '%.mp3')) = 0 "
-            f"AND {below} NOT LIKE '/srv/share/scratch/%' AND len(list_filter({part}, lambda c: c LIKE '.%')) = 0)"
+            f"AND path NOT LIKE '/srv/share/scratch/%' AND len(list_filter({part}, lambda c: c LIKE '.%')) = 0)"
         )
     return "(" + " OR ".join(tests) + ")"
 

@@ -32,8 +32,7 @@ def binary_scan(spark: SparkSession, roots: Sequence[str], config: Config | None
     keep: Column = F.lit(False)
     for r in roots:
         base = r.rstrip("/")
-        below = F.substring("path", len(base) + 1, 1 << 30)
-        inside = F.col("path").startswith(base + "/") & ~ignored(below, config.ignore)
+        inside = F.col("path").startswith(base + "/") & ~ignored(F.col("path"), config.ignore, base)
         keep = keep | (inside if config.include_hidden else inside & ~hidden(F.col("path"), base))
     rows = rows.filter(keep).dropDuplicates(["path"])
     return rows.select("path", name_of(F.col("path")).alias("name"), parent_of(F.col("path")).alias("parent"), *[c for c in rows.columns if c != "path"])
