@@ -428,7 +428,7 @@ def residue_lines(
     least: float = 0.8,
     name_least: int = 2,
 ) -> DataFrame:
-    """(doc_id, form, kind): the lines of documents that are residue.
+    """(doc_id, key, kind): the lines of documents that are residue, by the key of their normal form.
 
     `kind` is 'wording' for lines in a component with a trusted wording, 'template' for
     lines with a placeholder left standing. Placeholder spellings that mean other things
