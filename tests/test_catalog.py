@@ -136,6 +136,20 @@ def test_watch(spark, tmp_path):
     assert full == [1] and len(got) == 1
 
 
+def test_streamed_sessions_are_whole(spark, tmp_path):
+    from trawl.plans import event_queries
+
+    day = 86400
+    rows = [(1, T(0), "create", "/a/x", None), (2, T(60), "modify", "/a/x", None), (2, T(60), "modify", "/a/x", None)]
+    rows += [(3, T(20 * day), "modify", "/a/x", None), (4, T(20 * day + 99), "remove", "/a/x", None), (5, T(20 * day), "create", "/b/x", None)]
+    rows += [(6, T(5), "create", "/c/x", None), (6, T(2 * day), "create", "/c/x", None), (7, T(9), "create", "/c/y", None), (None, T(9), "create", "/c/z", None)]
+    spark.createDataFrame(rows, EVENTS).repartition(3).write.parquet(str(tmp_path / "fs_events.parquet"))
+    got = event_queries.sessions_streamed(spark, str(tmp_path))
+    got = got.select("parent", F.unix_micros("started"), F.unix_micros("ended"), "events")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, event_queries.debounce_sessions(spark, str(tmp_path)).collect()))
+    assert got.count() == 5
+
+
 def test_schedule():
     s, now = ev.Schedule(), datetime(2026, 1, 1)
     assert s.due(None, now) and not s.due(now - timedelta(minutes=5), now) and s.due(now + timedelta(minutes=5), now)

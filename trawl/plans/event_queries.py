@@ -50,7 +50,11 @@ def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sessions_streamed(spark: SparkSession, d: str) -> DataFrame:
-    """Quiet sessions found by a stream of the events table, with a watermark, until all is read."""
+    """Quiet sessions found by a stream of the events table, with a watermark, until all is read.
+
+    The stream emits what ended before the watermark; what it still holds when all is read
+    is closed through the batch.
+    """
     import uuid
 
     from trawl.runtime import checkpoint_dir
@@ -59,14 +63,15 @@ def sessions_streamed(spark: SparkSession, d: str) -> DataFrame:
     name = f"sessions_{uuid.uuid4().hex}"
     # A file source wants a folder; the glob makes one of the single file or the folder there is.
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/fs_events.parque[t]")
-    stream = ev.quiet_sessions(source.withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["seq"]), 3600)
+    stream = ev.quiet_sessions(source.filter("seq is not null").withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["seq"]), 3600)
     out = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema("parent string, started timestamp, ended timestamp, events long").parquet(f"{out}/data")
+    closed = spark.read.schema("parent string, started timestamp, ended timestamp, events long").parquet(f"{out}/data")
+    return ev.with_open_sessions(closed, _events(spark, d), 3600)
 
 
 QUERIES = {

@@ -66,6 +66,27 @@ def quiet_sessions(events: DataFrame, gap_seconds: int = 30) -> DataFrame:
     )
 
 
+def with_open_sessions(closed: DataFrame, events: DataFrame, gap_seconds: int = 30) -> DataFrame:
+    """The sessions a stopped stream has emitted, and those of the events it still held.
+
+    Sessions of a folder lie one after another, so what is open begins at the end of the last
+    one emitted or later; those events go through the batch. A folder is done over as a whole
+    if the stream dropped late events of it, or if a seq came with another ts or path, of
+    which the stream keeps the first and the batch the latest.
+    """
+    rows = deduplicated(events).withColumn("parent", parent_of(F.col("path")))
+    at = F.struct("ts", "path")
+    moved = events.groupBy("seq").agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a <> b")
+    moved = events.join(moved, "seq", "left_semi").select(parent_of(F.col("path")).alias("folder"))
+    upto = closed.groupBy(F.col("parent").alias("folder")).agg(F.max("ended").alias("upto"), F.sum("events").alias("n"))
+    same = F.col("parent").eqNullSafe(F.col("folder"))
+    seen = upto.join(rows, same & (F.col("ts") < F.col("upto")), "left").groupBy("folder", "n").agg(F.count("seq").alias("m"))
+    kept = closed.join(seen.filter("m <> n").select("folder").unionByName(moved).distinct(), same, "left_anti")
+    ends = kept.groupBy(F.col("parent").alias("folder")).agg(F.max("ended").alias("upto"))
+    rest = rows.join(ends, same, "left").filter("upto is null or ts >= upto")
+    return kept.unionByName(quiet_sessions(rest.select(*events.columns), gap_seconds))
+
+
 def late_by(events: DataFrame) -> DataFrame:
     """(seq, late_seconds): how far an event's time lies behind the latest time seen before it, in blocks of seq.
 
