@@ -254,6 +254,15 @@ def test_components_grow(spark):
     assert residue.residue_documents(df, trusted=(chain[0],), radius=24).count() == 4
 
 
+def test_unsure_placeholders_by_likeness(spark):
+    sure = [f"Please send the {w} back to {{{{ person }}}} before the end of the week" for w in ("report", "folder")]
+    like = ["[WHOEVER]", "%WHOEVER%", "«whoever»", "<whoever>", "{whoever}", "TODO: whoever", "$WHOEVER$"]
+    rows = [*sure, *(f"Please send the report back to {x} before the end of the week" for x in like)]
+    rows += ["He said [SIC] and <b>left</b>", "[WHOEVER]", "Please send the report back to whoever before the end of the week", "{{ person }}"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in residue.residue_documents(df).collect()) == [*range(9), 12]
+
+
 def test_registry():
     from trawl.llm import registry
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.runtime import spill
@@ -156,6 +156,20 @@ def placeholders(line: str) -> tuple[str, bool, list[str]]:
     return line, hits > 0, names
 
 
+def all_marks(line: str) -> list[str]:
+    """The line with its unsure placeholders as marks too; how far a TODO reaches is open, so up to three of them."""
+    found = [m for m in _UNSURE.finditer(line) if not (m[6] and m[0].startswith("</"))]
+    out = []
+    for k in range(1, max((len((m[7] or "").split(" ")) for m in found), default=0) + 1):
+        x, at = "", 0
+        for m in found:
+            left = " ".join(m[7].split(" ")[k:]) if m[7] else ""
+            x += line[at : m.start()] + f" {MARK} {left}"
+            at = m.end()
+        out.append(x + line[at:])
+    return out
+
+
 def plain_words(text: str) -> str:
     """Lower case, words only, one space between them, numbers as 0; line for line."""
     text = text.lower()
@@ -186,8 +200,8 @@ def normal_form(line: str) -> tuple[str, bool, list[str]]:
     return (form_of(tokens) if tokens else ""), sure, names
 
 
-def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool, list[str]]]:
-    """The lines of a document outside literal samples, as normal_form().
+def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool, list[str], list[str]]]:
+    """The lines of a document outside literal samples, as normal_form(), and their forms by all_marks().
 
     Lines whose form is longer than the horizon and without placeholder are left out.
     """
@@ -195,14 +209,15 @@ def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool,
         text = _CODE.sub("\n", text)
     if "`" in text:
         text = _INLINE.sub(" ", text)
-    marked: dict[int, tuple[bool, list[str]]] = {}
+    marked: dict[int, tuple[bool, list[str], list[str]]] = {}
     if any(x in text for x in ("{", "[", "<", "%", "«", "$", "@@", "XX", "__", "TODO")) and _MARKS.search(text):
         lines = text.split("\n")
         for i, line in enumerate(lines):
             if _MARKS.search(line):
                 lines[i], sure, names = placeholders(line)
                 if sure or names:
-                    marked[i] = (sure, names)
+                    full = [form_of(t) for x in all_marks(lines[i]) if (t := plain_words(x).split())] if names else []
+                    marked[i] = (sure, names, full)
         text = "\n".join(lines)
     for i, line in enumerate(plain_words(text).split("\n")):
         tokens = line.split()
@@ -212,7 +227,7 @@ def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool,
         if i in marked:
             yield form, *marked[i]
         elif horizon is None or len(form) <= horizon:
-            yield form, False, []
+            yield form, False, [], []
 
 
 def shingles(form: str) -> set[str]:
@@ -317,7 +332,7 @@ class Tables:
         return out
 
 
-_LINES = "doc_id {}, key long, form string, hash long, sure boolean, names array<string>"
+_LINES = "doc_id {}, key long, form string, hash long, sure boolean, names array<string>, marked array<string>"
 
 
 def _key(form: str) -> int:
@@ -325,27 +340,29 @@ def _key(form: str) -> int:
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, horizon: int) -> DataFrame:
-    """One row per distinct line of a document: its normal form, SimHash, placeholders."""
+    """One row per distinct line of a document: its normal form, SimHash, placeholders, forms by all_marks()."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, forms, sure, names = [], [], [], []
+            ids, forms, sure, names, marked = [], [], [], [], []
             for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 if not t:
                     continue
                 seen: dict[str, list] = {}
-                for form, s, n in lines_of(t, horizon):
+                for form, s, n, m in lines_of(t, horizon):
                     x = seen.get(form)
                     if x is None:
-                        seen[form] = [s, n]
+                        seen[form] = [s, n, m]
                     else:
                         x[0] = x[0] or s
                         x[1] = x[1] + n if n else x[1]
-                for form, (s, n) in seen.items():
+                        x[2] = x[2] + m if m else x[2]
+                for form, (s, n, m) in seen.items():
                     ids.append(d)
                     forms.append(form)
                     sure.append(s)
                     names.append(n)
+                    marked.append(m)
             yield pd.DataFrame(
                 {
                     "doc_id": ids,
@@ -354,6 +371,7 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, horizon: int) -> Dat
                     "hash": simhashes(forms).view(np.int64),
                     "sure": sure,
                     "names": names,
+                    "marked": marked,
                 }
             )
 
@@ -485,27 +503,42 @@ def sure_names(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame
     return named.select("d", name).groupBy("name").agg(F.count_distinct("d").alias("n")).filter(f"n >= {least}").select("name")
 
 
+def shingle_set(form) -> Column:
+    """shingles() as a Column."""
+    padded = F.concat(F.lit("  "), form, F.lit("  "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) + 1), lambda i: F.substring(padded, i, F.lit(4))))
+
+
 def near_template(unsure: DataFrame, sure: DataFrame, least: float) -> DataFrame:
     """(doc_id, key): unsure lines that are near-duplicates of lines with a sure placeholder.
 
-    Both are compared with the unsure placeholders taken for marks too; here the SimHash
-    tables have four bands of 16 bits, so distances of up to 3 are found, and both sides
-    are shuffled by band. Equal fingerprints are reduced to one row before they meet.
+    Both are compared with the unsure placeholders taken for marks too, by similarity()
+    alone. Two lines that are similar enough share one of the rarest shingles of each (as
+    many as may be missing, and one), so these are what the two sides are joined by; equal
+    forms are reduced to one row before they meet. A line of nothing but marks is like
+    any other, so it says nothing.
     """
-    as_mark = F.regexp_replace(
-        "form", r"\{[\w -]+\}|%[a-z_]+%|\$[a-z_]+\$|\[[a-z _]+\]|«\s?[a-z_]+\s?»|<[a-z_-]+>|todo: ?[a-z_]+", MARK
-    )
-
-    def banded(df: DataFrame) -> DataFrame:
-        bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("hash", 16 * k).bitwiseAND(0xFFFF).alias("v")) for k in range(4)])
-        return df.withColumn("band", F.explode(bands)).select("*", "band.k", "band.v").drop("band")
-
-    a = banded(unsure.select("key", as_mark.alias("form"), "hash").dropDuplicates(["key"])).withColumnRenamed("form", "fa")
-    b = banded(sure.select("form", "hash").dropDuplicates(["form"])).withColumnRenamed("form", "fb").withColumnRenamed("hash", "hb")
-    close = a.join(b, ["k", "v"]).filter(F.bit_count(F.col("hash").bitwiseXOR(F.col("hb"))) <= 3)
-    limit = (1 - least) * F.greatest(F.length("fa"), F.length("fb"))
-    keys = close.filter(F.levenshtein("fa", "fb") <= limit).select("key").distinct()
-    return unsure.select("doc_id", "key").join(keys, "key", "left_semi").select("doc_id", "key")
+    words = F.trim(F.regexp_replace("form", MARK, "")) != ""
+
+    def shingled(df: DataFrame) -> DataFrame:
+        return df.filter(words).distinct().withColumn("set", shingle_set(F.col("form")))
+
+    a = shingled(unsure.select(F.explode("marked").alias("form")))
+    b = shingled(sure.select(F.explode(F.array_union(F.array("form"), "marked")).alias("form")))
+    count = b.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"))
+
+    def rarest(df: DataFrame, form: str, size: str) -> DataFrame:
+        each = df.select("form", F.size("set").alias("n"), F.explode("set").alias("s")).join(count, "s", "left")
+        ranked = each.groupBy("form", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "s"))).alias("r"))
+        first = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)
+        return ranked.select(F.col("form").alias(form), F.col("n").alias(size), F.explode(first.s).alias("s"))
+
+    long_enough = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
+    pairs = rarest(a, "fa", "na").join(rarest(b, "fb", "nb"), "s").filter(long_enough).select("fa", "fb", "na", "nb").distinct()
+    both = F.size(F.array_intersect(shingle_set(F.col("fa")), shingle_set(F.col("fb"))))
+    near = pairs.filter(both >= least * (F.col("na") + F.col("nb") - both) - 1e-9).select(F.col("fa").alias("form")).distinct()
+    marked = unsure.select("doc_id", "key", F.explode("marked").alias("form"))
+    return marked.join(near, "form", "left_semi").select("doc_id", "key").distinct()
 
 
 def residue_documents(docs: DataFrame, **options) -> DataFrame:
