@@ -154,6 +154,18 @@ def test_leaks(spark):
     assert leaks.leaked_items(df, table.limit(0)).count() == 0 and leaks.leaked_items(df.limit(0), table).count() == 0
 
 
+def test_shared_passages_are_not_instructions(spark):
+    rng = random.Random(66)
+    copy, reading = " ".join(sentence(rng, 10)) + ". " + " ".join(sentence(rng, 12)) + ".", " ".join(sentence(rng, 40)) + "."
+    asked = [" ".join(sentence(rng, 20)) for _ in range(9)]
+    items = [(i, copy) for i in range(9)] + [(10 + i, f"{reading} {q}. Pick one.") for i, q in enumerate(asked)]
+    items += [(20 + i, f"{' '.join(sentence(rng, 20))}.\nNo") for i in range(9)]
+    items.append((30, " ".join(f"No{w}" for w in sentence(rng, 20)) + "."))
+    docs = spark.createDataFrame([(1, copy), (2, reading), (3, asked[0] + ". Pick one."), (4, items[-1][1])], "doc_id long, text string")
+    got = leaks.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [*((1, i) for i in range(9)), *((2, 10 + i) for i in range(9)), (3, 10), (4, 30)]
+
+
 # 7 --------------------------------------------------------------------------------
 
 

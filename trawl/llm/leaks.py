@@ -61,11 +61,22 @@ def words_at(text: str) -> tuple[list[str], list[int], list[int]]:
     return [m[0] for m in found], [index[m.start()] for m in found], [index[m.end() - 1] + 1 for m in found]
 
 
-def shared_lines(items: DataFrame, text: str, least: int) -> list[str]:
-    """Sentences that stand in `least` items or more: instructions, not test material."""
-    sentence = F.explode(F.array_distinct(F.split(F.col(text), r"(?<=[.!?:])\s+|\n"))).alias("s")
-    found = items.select(sentence).groupBy(F.trim("s").alias("s")).count().filter(f"s != '' and count >= {least}")
-    return sorted((r.s for r in found.select("s").toLocalIterator()), key=lambda s: (-len(s), s))
+_BORDER = re.compile(r"((?<=[.!?:])[ \t\n\x0b\f\r]+|\n)")
+
+
+def shared_lines(items: DataFrame, text: str, least: int, below: int) -> list[str]:
+    """Sentences of fewer than `below` words that stand in `least` different texts or more: instructions, not test material.
+
+    A sentence as long as a run is a passage, however many items share it.
+    """
+    sentence = F.explode(F.array_distinct(F.transform(F.split(F.col(text), _BORDER.pattern), lambda s: F.trim(s)))).alias("s")
+    found = items.select(text).distinct().select(sentence).groupBy("s").count().filter(f"s != '' and count >= {least}")
+    return sorted(r.s for r in found.select("s").toLocalIterator() if len(words(r.s)) < below)
+
+
+def without_shared(text: str, shared: set[str]) -> str:
+    """The text without the shared sentences, where they stand as sentences."""
+    return "".join(" \n " if part.strip(" ") in shared else part for part in _BORDER.split(text)) if shared else text
 
 
 @dataclass
@@ -90,13 +101,12 @@ def codes_of(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def build_index(items: list[tuple[int, str]], n: int, shared: list[str]) -> Index:
+    instructions = set(shared)
     vocab: dict[str, int] = {}
     kept: dict[int, list[str]] = {}
     code, item, pos = [], [], []
     for i, text in items:
-        for s in shared:
-            text = text.replace(s, " \n ")
-        w = words(text)
+        w = words(without_shared(text, instructions))
         kept[i] = w
         ids = np.array([vocab.setdefault(x, len(vocab) + 1) for x in w], np.uint64)
         c = codes_of(ids, n)
@@ -237,8 +247,8 @@ def find_leaks(
     corpus is scanned once per block and never shuffled. A window that hits is verified
     by aligning document and item from there: the run must span `min_words` item words,
     of which `min_share` agree in order (about one word in nine may be replaced; marks
-    may be inserted). Sentences that stand in `shared_least` items or more are
-    instructions and don't count.
+    may be inserted). Sentences shorter than a run that stand in `shared_least` different
+    item texts or more are instructions and don't count.
 
     NULL or empty texts and texts shorter than a run yield nothing; a document listed
     under two ids, or twice, comes out for each row; NULL ids pass through. Items with
@@ -247,7 +257,7 @@ def find_leaks(
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id long, first_word int, last_word int"
     rows = docs.filter(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    shared = shared_lines(items, item_text, shared_least)
+    shared = shared_lines(items, item_text, shared_least, min_words)
     out: DataFrame | None = None
     for block in item_blocks(items, item_id, item_text, block_chars):
         sent = spark.sparkContext.broadcast(build_index(block, n, shared))
