@@ -266,6 +266,21 @@ def test_components_grow(spark):
     assert residue.residue_documents(df, trusted=(chain[0],), radius=24).count() == 4
 
 
+def test_near_lines_miss_nothing(spark):
+    rng = random.Random(88)
+    trusted = sorted({residue.normal_form(t)[0] for t in residue.TRUSTED_LINES})
+    some = sorted({w for t in trusted for w in t.split()})
+    forms = {" ".join(rng.choice(some) if k == at else w for k, w in enumerate(t.split())) for t in trusted for at in range(12)}
+    forms = [*sorted(forms), "", "a", "é" * 30, "x" * 700, "\U0001f600 page not found", "the page the page not the page"]
+    want = [any(residue.similarity(f, t) >= 0.8 for t in trusted) for f in forms]
+    assert residue.Shared(trusted, 0.8).near(forms).tolist() == want and any(want) and not all(want)
+    hashes = residue.simhashes(forms)
+    far = [f for f, w, near in zip(forms, want, residue.Tables(trusted).near(forms, hashes, 0.8)) if w and not near]
+    assert far
+    df = spark.createDataFrame(list(enumerate(far)), "doc_id long, text string")
+    assert residue.residue_documents(df).count() == len(far)
+
+
 def test_unsure_placeholders_by_likeness(spark):
     sure = [f"Please send the {w} back to {{{{ person }}}} before the end of the week" for w in ("report", "folder")]
     like = ["[WHOEVER]", "%WHOEVER%", "«whoever»", "<whoever>", "{whoever}", "TODO: whoever", "$WHOEVER$"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -332,6 +333,59 @@ class Tables:
         return out
 
 
+class Shared:
+    """The shingles of a block of labelled lines, and which lines hold each: finds every line similar enough."""
+
+    def __init__(self, forms: list[str], least: float):
+        self.least = least
+        self.sizes: list[int] = []
+        self.holders: dict[str, list[int]] = {}
+        for j, f in enumerate(forms):
+            s = shingles(f)
+            self.sizes.append(len(s))
+            for x in s:
+                self.holders.setdefault(x, []).append(j)
+        known = self._codes("".join(self.holders))[::4]
+        self.known = np.zeros(1 << 20, bool)
+        self.known[(known & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        """A 40-bit code per window of 4 characters."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        w = c[:-3] | (c[1:-2] << np.uint64(21)) | (c[2:-1] << np.uint64(42))
+        w = (w ^ (c[3:] * _SPREAD2)) * _SPREAD
+        return w >> np.uint64(24)
+
+    def _possible(self, forms: list[str]) -> np.ndarray:
+        """Lines of which enough distinct shingles may be known; one is let off, as codes may fall together."""
+        lens = np.fromiter(map(len, forms), np.int64, len(forms)) + 4
+        code = self._codes("".join(f"  {f}  " for f in forms) + "   ")
+        inside = np.ones(len(code), bool)
+        for k in (1, 2, 3):
+            inside[np.cumsum(lens) - k] = False
+        row = np.repeat(np.arange(len(forms), dtype=np.uint64), lens)
+        key = np.sort((row[inside] << np.uint64(40)) | code[inside])
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        row = (key >> np.uint64(40)).astype(np.int64)
+        hit = self.known[(key & np.uint64(0xFFFFF)).astype(np.int64)]
+        n, k = np.bincount(row, minlength=len(forms)), np.bincount(row[hit], minlength=len(forms))
+        return k + 1 >= self.least * n
+
+    def near(self, forms: list[str]) -> np.ndarray:
+        """Which of the lines are as similar to a labelled one as asked for."""
+        out = np.zeros(len(forms), bool)
+        for at in range(0, len(forms), 4096):
+            part = forms[at : at + 4096]
+            for i in np.flatnonzero(self._possible(part)).tolist():
+                mine = shingles(part[i])
+                held = [self.holders[x] for x in mine if x in self.holders]
+                if len(held) >= self.least * len(mine):
+                    both = Counter(j for h in held for j in h)
+                    out[at + i] = any(c / (len(mine) + self.sizes[j] - c) >= self.least for j, c in both.items())
+        return out
+
+
 _LINES = "doc_id {}, key long, form string, hash long, sure boolean, names array<string>, marked array<string>"
 
 
@@ -381,13 +435,19 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, horizon: int) -> Dat
 
 
 def near_lines(nodes: DataFrame, labelled: list[str], radius: int, least: float) -> DataFrame:
-    """The nodes that are near-duplicates of lines of one block; map-only."""
+    """The nodes that are near-duplicates of lines of one block; map-only.
+
+    The SimHash tables find most of them; the rest, beyond the radius, by shared shingles.
+    """
     sent = nodes.sparkSession.sparkContext.broadcast(labelled)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = Tables(sent.value, radius)
+        tables, shared = Tables(sent.value, radius), Shared(sent.value, least)
         for pdf in batches:
-            near = tables.near(pdf["form"].tolist(), pdf["hash"].to_numpy(np.int64).view(np.uint64), least)
+            forms = pdf["form"].tolist()
+            near = tables.near(forms, pdf["hash"].to_numpy(np.int64).view(np.uint64), least)
+            rest = np.flatnonzero(~near)
+            near[rest] = shared.near([forms[i] for i in rest])
             yield pdf.loc[near, ["key", "form"]]
 
     return nodes.select("key", "form", "hash").mapInPandas(look, "key long, form string")
