@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 import unicodedata
@@ -9,29 +10,56 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 _DROP = dict.fromkeys(
     cp for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp)) in ("Mn", "Cf", "Me")
 )
-_BREAK = re.compile(r"[-‐‑\xad]\s*\n[>\s*]*(?=[^\W\d_])")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_SOFT = re.compile("\xad(?=\\s*[\n\r])")  # a soft hyphen shows at the end of a line only
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+# What is cut out of a text, in this order: the pattern, and characters one of which it can't do without.
+_CUTS = (
+    (re.compile(r"</?(?:[pP]|[bB][rR]|[hH][rR]|[hH][1-6]|[dD][iI][vV]|[lL][iI]|[uUoO][lL]|[tT][dDrRhH]|[dD][tTdD])\b[^<>\n]{0,200}>"), " ", "<"),
+    (re.compile(r"</?[A-Za-z][^<>\n]{0,200}>"), "", "<"),
+    (re.compile(r"[-‐‑]\s*[\n\r][>\s*]*(?=[^\W\d_])"), "", "-‐‑"),
+)
+
 
-def plain(text: str) -> str:
-    """Without accents, invisible characters, markup tags and word breaks at line ends."""
+def plain(text: str, at: list[int] | None = None) -> str:
+    """Without accents, invisible characters, markup tags and word breaks at line ends; lower case.
+
+    `at`, if given, receives of each character left the place it had in `text`; what is
+    left is the same with and without it.
+    """
+    places: list[int] | range = range(len(text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_DROP)
-    if "<" in text:
-        text = _TAG.sub("", text)
-    if "-\n" in text or "- \n" in text or "‐" in text or "‑" in text:
-        text = _BREAK.sub("", text)
-    return text.lower()
+        text = _SOFT.sub("-", text)
+        if at is None:
+            text = unicodedata.normalize("NFKD", text).translate(_DROP)
+        else:
+            spelt = [(x, i) for i, ch in enumerate(text) for x in unicodedata.normalize("NFKD", ch) if ord(x) not in _DROP]
+            text, places = "".join(x for x, _ in spelt), [i for _, i in spelt]
+    for pattern, to, needs in _CUTS:
+        if not any(c in text for c in needs):
+            continue
+        if at is None:
+            text = pattern.sub(to, text)
+            continue
+        out, left, end = [], [], 0
+        for m in pattern.finditer(text):
+            out += (text[end : m.start()], to)
+            left += [*places[end : m.start()], *[places[m.start()]] * len(to)]
+            end = m.end()
+        text, places = "".join([*out, text[end:]]), [*left, *places[end:]]
+    if at is not None:
+        at += places
+    # After NFKD no letter changes its length, and sigma has one form.
+    return text.lower().replace("ς", "σ")
 
 
 def words(text: str) -> list[str]:
@@ -40,37 +68,24 @@ def words(text: str) -> list[str]:
 
 def words_at(text: str) -> tuple[list[str], list[int], list[int]]:
     """The words of `text`, and where each begins and ends in the text as it is."""
-    chars: list[str] = []
     at: list[int] = []
-    for i, ch in enumerate(text):
-        for x in unicodedata.normalize("NFKD", ch):
-            if ord(x) not in _DROP:
-                chars.append(x)
-                at.append(i)
-    s = "".join(chars)
-    keep = np.ones(len(s), bool)
-    for pattern in (_TAG, _BREAK):
-        for m in pattern.finditer(s):
-            keep[m.start() : m.end()] = False
-    index = [at[i] for i in np.flatnonzero(keep)]
-    s = "".join(c for c, k in zip(s, keep) if k)
-    low = s.lower()
-    if len(low) != len(s):
-        low = "".join(c.lower()[:1] or c for c in s)
-    found = list(_WORD.finditer(low))
-    return [m[0] for m in found], [index[m.start()] for m in found], [index[m.end() - 1] + 1 for m in found]
+    found = list(_WORD.finditer(plain(text, at)))
+    return [m[0] for m in found], [at[m.start()] for m in found], [at[m.end() - 1] + 1 for m in found]
 
 
 _BORDER = re.compile(r"((?<=[.!?:])[ \t\n\x0b\f\r]+|\n)")
 
 
-def shared_lines(items: DataFrame, text: str, least: int, below: int) -> list[str]:
-    """Sentences of fewer than `below` words that stand in `least` different texts or more: instructions, not test material.
+def shared_lines(items: DataFrame, text: str, share: float, below: int) -> list[str]:
+    """Sentences of fewer than `below` words in `share` of the different item texts (three at least): instructions.
 
-    A sentence as long as a run is a passage, however many items share it.
+    A sentence as long as a run is a passage, however many items share it. There can be no
+    more of them than the items have sentences on average, over `share`.
     """
+    texts = items.select(text).filter(F.col(text).isNotNull()).distinct()
+    least = max(3, math.ceil(share * texts.count()))
     sentence = F.explode(F.array_distinct(F.transform(F.split(F.col(text), _BORDER.pattern), lambda s: F.trim(s)))).alias("s")
-    found = items.select(text).distinct().select(sentence).groupBy("s").count().filter(f"s != '' and count >= {least}")
+    found = texts.select(sentence).groupBy("s").count().filter(f"s != '' and count >= {least}")
     return sorted(r.s for r in found.select("s").toLocalIterator() if len(words(r.s)) < below)
 
 
@@ -86,9 +101,12 @@ class Index:
     n: int
     vocab: dict[str, int]
     codes: np.ndarray
-    item: np.ndarray
+    item: np.ndarray  # number of the item in the block
     pos: np.ndarray
-    items: dict[int, list[str]]
+    ids: list  # item ids by number
+    words: list[list[str]]
+    flat: np.ndarray  # word numbers of all items, one after another
+    start: np.ndarray  # where those of an item begin
 
 
 def codes_of(ids: np.ndarray, n: int) -> np.ndarray:
@@ -103,25 +121,24 @@ def codes_of(ids: np.ndarray, n: int) -> np.ndarray:
 def build_index(items: list[tuple[int, str]], n: int, shared: list[str]) -> Index:
     instructions = set(shared)
     vocab: dict[str, int] = {}
-    kept: dict[int, list[str]] = {}
-    code, item, pos = [], [], []
-    for i, text in items:
-        w = words(without_shared(text, instructions))
-        kept[i] = w
-        ids = np.array([vocab.setdefault(x, len(vocab) + 1) for x in w], np.uint64)
-        c = codes_of(ids, n)
-        code.append(c)
-        item.append(np.full(len(c), i, np.int64))
-        pos.append(np.arange(len(c), dtype=np.int64))
-    codes = np.concatenate(code) if code else np.zeros(0, np.uint64)
+    kept = [words(without_shared(text, instructions)) for _, text in items]
+    numbers = [np.array([vocab.setdefault(x, len(vocab) + 1) for x in w], np.uint64) for w in kept]
+    windows = [codes_of(x, n) for x in numbers]
+    none = np.zeros(0, np.uint64)
+    codes = np.concatenate([none, *windows])
     order = np.argsort(codes, kind="stable")
+    lens = np.array([len(w) for w in windows], np.int64)
+    sizes = np.array([len(x) for x in numbers], np.int64)
     return Index(
         n,
         vocab,
         codes[order],
-        np.concatenate(item)[order] if item else np.zeros(0, np.int64),
-        np.concatenate(pos)[order] if pos else np.zeros(0, np.int64),
+        np.repeat(np.arange(len(items), dtype=np.int64), lens)[order],
+        (np.arange(len(codes), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens))[order],
+        [i for i, _ in items],
         kept,
+        np.concatenate([none, *numbers]),
+        np.cumsum(sizes) - sizes,
     )
 
 
@@ -174,42 +191,46 @@ def runs(
     return out
 
 
+def windows_hit(ids: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the document, item number, place in the item) of every window the two share, by item."""
+    n, none = index.n, np.zeros(0, np.int64)
+    full = ids[: max(0, len(ids) - n + 1)] > 0
+    for k in range(1, n):
+        full &= ids[k : k + len(full)] > 0
+    where = np.flatnonzero(full)
+    if not len(where) or not len(index.codes):
+        return none, none, none
+    codes = codes_of(ids, n)[where]
+    lo = np.searchsorted(index.codes, codes)
+    hit = index.codes[np.minimum(lo, len(index.codes) - 1)] == codes
+    where, lo = where[hit], lo[hit]
+    many = np.searchsorted(index.codes, codes[hit], side="right") - lo
+    d = np.repeat(where, many)
+    at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    item, p = index.item[at], index.pos[at]
+    same = np.ones(len(d), bool)
+    for k in range(n):  # codes may fall together
+        same &= index.flat[index.start[item] + p + k] == ids[d + k]
+    d, item, p = d[same], item[same], p[same]
+    order = np.lexsort((p, d, item))
+    return d[order], item[order], p[order]
+
+
 def scan(texts: list[str | None], index: Index, min_words: int, min_share: float) -> list[tuple[int, int, int, int]]:
     """(row, item, first and last word of the run in the document), verified."""
-    n, get = index.n, index.vocab.get
+    get = index.vocab.get
     found: list[tuple[int, int, int, int]] = []
     for row, text in enumerate(texts):
-        if not text:
-            continue
-        doc = words(text)
+        doc = words(text) if text else []
         if len(doc) < min_words:
             continue
-        ids = np.fromiter((get(w, 0) for w in doc), np.uint64, len(doc))
-        known = ids > 0
-        full = known[: len(ids) - n + 1].copy()
-        for k in range(1, n):
-            full &= known[k : len(ids) - n + 1 + k]
-        where = np.flatnonzero(full)
-        if not len(where):
-            continue
-        codes = codes_of(ids, n)[where]
-        lo = np.searchsorted(index.codes, codes)
-        lo[lo == len(index.codes)] = 0
-        hit = index.codes[lo] == codes
-        if not hit.any():
-            continue
-        where, codes, lo = where[hit], codes[hit], lo[hit]
-        hi = np.searchsorted(index.codes, codes, side="right")
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for d, a, b in zip(where.tolist(), lo.tolist(), hi.tolist()):
-            for k in range(a, b):
-                i, p = int(index.item[k]), int(index.pos[k])
-                if doc[d : d + n] == index.items[i][p : p + n]:
-                    by_item.setdefault(i, []).append((d, p))
-        for i, hits in by_item.items():
-            for a, e, b, f, same in runs(doc, index.items[i], hits, n):
+        d, item, p = windows_hit(np.fromiter((get(w, 0) for w in doc), np.uint64, len(doc)), index)
+        cuts = [0, *(np.flatnonzero(np.diff(item)) + 1).tolist(), len(d)] if len(d) else []
+        for x, y in zip(cuts, cuts[1:]):
+            i = int(item[x])
+            for a, e, b, f, same in runs(doc, index.words[i], list(zip(d[x:y].tolist(), p[x:y].tolist())), index.n):
                 if f - b + 1 >= min_words and same >= min_share * (f - b + 1):
-                    found.append((row, i, a, e))
+                    found.append((row, index.ids[i], a, e))
     return found
 
 
@@ -227,6 +248,13 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) ->
         yield block
 
 
+def _indexes(items: DataFrame, item_id: str, text: str, n: int, min_words: int, shared_share: float, block_chars: int) -> Iterator:
+    """The indexes of the blocks of items, broadcast one by one."""
+    shared = shared_lines(items, text, shared_share, min_words)
+    for block in item_blocks(items, item_id, text, block_chars):
+        yield items.sparkSession.sparkContext.broadcast(build_index(block, n, shared))
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -237,7 +265,7 @@ def find_leaks(
     n: int = 4,
     min_words: int = 15,
     min_share: float = 0.72,
-    shared_least: int = 8,
+    shared_share: float = 0.03,
     block_chars: int = 32_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, first_word, last_word) for every run of item words in a document.
@@ -247,37 +275,36 @@ def find_leaks(
     corpus is scanned once per block and never shuffled. A window that hits is verified
     by aligning document and item from there: the run must span `min_words` item words,
     of which `min_share` agree in order (about one word in nine may be replaced; marks
-    may be inserted). Sentences shorter than a run that stand in `shared_least` different
-    item texts or more are instructions and don't count.
+    may be inserted). Sentences shorter than a run that stand in `shared_share` of the
+    different item texts, three at least, are instructions and don't count.
 
     NULL or empty texts and texts shorter than a run yield nothing; a document listed
     under two ids, or twice, comes out for each row; NULL ids pass through. Items with
     the same text each come out. Other columns are not read, so their names can't clash.
     """
-    spark = docs.sparkSession
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id long, first_word int, last_word int"
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id long, first_word int, last_word int"
     rows = docs.filter(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    shared = shared_lines(items, item_text, shared_least, min_words)
     out: DataFrame | None = None
-    for block in item_blocks(items, item_id, item_text, block_chars):
-        sent = spark.sparkContext.broadcast(build_index(block, n, shared))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = sent.value
-            for pdf in batches:
-                hits = scan(pdf["text"].tolist(), index, min_words, min_share)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pdf["doc_id"].iloc[[h[0] for h in hits]].to_numpy(),
-                        "item_id": [h[1] for h in hits],
-                        "first_word": [h[2] for h in hits],
-                        "last_word": [h[3] for h in hits],
-                    }
+    for sent in _indexes(items, item_id, item_text, n, min_words, shared_share, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = scan(batch.column(1).to_pylist(), sent.value, min_words, min_share)
+                row, item, first, last = zip(*hits) if hits else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(row, pa.int64())),
+                        pa.array(item, pa.int64()),
+                        pa.array(first, pa.int32()),
+                        pa.array(last, pa.int32()),
+                    ],
+                    ["doc_id", "item_id", "first_word", "last_word"],
                 )
 
-        part = rows.mapInPandas(run, schema)
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -285,30 +312,64 @@ def leaked_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     return find_leaks(docs, items, **options).select("doc_id", "item_id").distinct()
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, whole: bool = False, **options) -> DataFrame:
+def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the runs of words (first, last)."""
+    _, start, end = words_at(text)
+    out, at = [], 0
+    for a, b in sorted((start[a], end[b]) for a, b in spans):
+        out.append(text[at : max(at, a)])
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def without_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    whole: bool = False,
+    doc_text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    n: int = 4,
+    min_words: int = 15,
+    min_share: float = 0.72,
+    shared_share: float = 0.03,
+    block_chars: int = 32_000_000,
+) -> DataFrame:
     """The corpus without leaked documents (`whole`), or with the leaked passages cut out of them.
 
-    All columns are kept; doc_id must be unique. Documents without a leak come through untouched.
+    Runs are found as in find_leaks and cut where the text is scanned: one pass over the
+    corpus per block of items, no join and no shuffle; all passages are found in the text
+    as it came before any is cut. All rows and columns are kept as they are (NULL texts,
+    repeated ids and NULL ids too); documents without a leak come through untouched.
     """
-    leaks = find_leaks(docs, items, **options)
+    places = "__runs"
+    while places in docs.columns:
+        places += "_"
+    span = StructType([StructField("a", IntegerType()), StructField("b", IntegerType())])
+    rows = docs.withColumn(places, F.array().cast(ArrayType(span)))
+    schema = rows.schema
+    for sent in _indexes(items, item_id, item_text, n, min_words, shared_share, block_chars):
+
+        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k = batch.schema.get_field_index(places)
+                runs_ = batch.column(k).to_pylist()
+                for row, _, a, b in scan(batch.column(batch.schema.get_field_index(doc_text)).to_pylist(), sent.value, min_words, min_share):
+                    runs_[row].append({"a": a, "b": b})
+                yield batch.set_column(k, batch.schema.field(k), pa.array(runs_, batch.schema.field(k).type))
+
+        rows = rows.mapInArrow(look, schema)
     if whole:
-        return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
-    spans = leaks.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "last_word")).alias("__spans"))
-
-    @F.pandas_udf(StringType())
-    def cut_out(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(text, spans):
-            if s is None or t is None:
-                out.append(t)
-                continue
-            _, start, end = words_at(t)
-            keep = np.ones(len(t), bool)
-            for x in s:
-                keep[start[x["first_word"]] : end[x["last_word"]]] = False
-            out.append("".join(c for c, k in zip(t, keep) if k))
-        return pd.Series(out, dtype=object)
-
-    joined = docs.join(spans, "doc_id", "left")
-    hit = joined.filter("__spans is not null").withColumn("text", cut_out("text", "__spans"))
-    return hit.unionByName(joined.filter("__spans is null")).drop("__spans")
+        return rows.filter(F.size(places) == 0).drop(places)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.schema.get_field_index(places)).to_pylist()
+            k = batch.schema.get_field_index(doc_text)
+            if any(spans):
+                texts = batch.column(k).to_pylist()
+                texts = [cut_out(t, [(x["a"], x["b"]) for x in s]) if s else t for t, s in zip(texts, spans)]
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+            yield batch
+
+    return rows.mapInArrow(cut, schema).drop(places)
