@@ -26,14 +26,8 @@ def encoder(vocabulary: str):
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        try:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
-        except ImportError:
-            pattern = _PATTERN
         _encoders[vocabulary] = tiktoken.Encoding(
-            os.path.basename(vocabulary), pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+            os.path.basename(vocabulary), pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
     return _encoders[vocabulary]
 
@@ -83,6 +77,57 @@ def sainte_lague(weights: Mapping, seats: int, caps: Mapping | None = None) -> d
     return got
 
 
+def shard_quotas(shards: DataFrame, quotas: DataFrame, block_tokens: int, grid: int = 32, left_over: int = 10_000) -> DataFrame:
+    """(mix_name, source, shard, tokens, max_repeats, blocks): a source's blocks apportioned to its shards, Sainte-Lague.
+
+    `shards` has (source, shard, tokens), `quotas` (mix_name, source, quota, max_repeats),
+    as many rows as sources in mixes. The divisor at which the rounded quotients give the
+    quota is closed in on by counting at `grid` divisors at once, for all mixes and sources
+    in one aggregate; what comes to the driver is a count per divisor and source of a mix.
+    Once no more than `left_over` seats lie between the ends of a bracket these go by
+    highest quotient, ties to the smaller shard; the result is the same for any bracket.
+    """
+    spark = shards.sparkSession
+    rows = shards.join(F.broadcast(quotas), "source")
+    rows = cut(rows.withColumn("cap", F.ceil(F.col("tokens") * F.col("max_repeats") / block_tokens)))
+    seats = lambda d: F.least(F.col("cap"), F.floor(F.col("tokens") / d + 0.5))
+    whole = rows.groupBy("mix_name", "source", "quota").agg(F.sum("cap").alias("caps"), F.max("tokens").alias("top")).collect()
+    quota = {(r.mix_name, r.source): r.quota for r in whole}
+    # (divisor, seats at it): 0 stands for all caps, and beyond twice the largest shard there is no seat.
+    bracket = {(r.mix_name, r.source): ((0.0, r.caps), (2.0 * r.top + 1.0, 0)) for r in whole}
+    for k in range(12):
+        wide = {key: b for key, b in bracket.items() if b[0][1] - b[1][1] > left_over}
+        if not wide:
+            break
+        at = {}
+        for key, ((lo, _), (hi, _)) in wide.items():
+            # Over orders of magnitude at first, then evenly.
+            at[key] = [hi * 10.0 ** (-12 * (1 - i / grid)) if k == 0 else lo + (hi - lo) * (i / grid) for i in range(1, grid)]
+        tried = spark.createDataFrame([(*key, d) for key, ds in at.items() for d in ds], "mix_name string, source string, d double")
+        found = rows.join(F.broadcast(tried), ["mix_name", "source"]).groupBy("mix_name", "source", "d").agg(F.sum(seats(F.col("d"))).alias("n"))
+        counts: dict[tuple, list] = {}
+        for r in found.collect():
+            counts.setdefault((r.mix_name, r.source), []).append((r.d, r.n))
+        for key, of in counts.items():  # fewer seats the larger the divisor
+            lo, hi = bracket[key]
+            bracket[key] = (
+                max((x for x in of if x[1] > quota[key]), default=lo),
+                min((x for x in of if x[1] <= quota[key]), default=hi),
+            )
+    ends = [(*key, lo, hi, quota[key] - n) for key, ((lo, _), (hi, n)) in bracket.items()]
+    ends = spark.createDataFrame(ends, "mix_name string, source string, lo double, hi double, left long")
+    most = F.when(F.col("lo") > 0, seats(F.col("lo"))).otherwise(F.col("cap"))
+    rows = rows.join(F.broadcast(ends), ["mix_name", "source"])
+    rows = cut(rows.select("mix_name", "source", "shard", "tokens", "max_repeats", "left", seats(F.col("hi")).alias("sure"), most.alias("most")))
+    more = rows.filter("most > sure").select("mix_name", "source", "shard", "tokens", "left", F.explode(F.sequence(F.col("sure") + 1, F.col("most"))).alias("seat"))
+    first = Window.partitionBy("mix_name", "source").orderBy(F.desc(F.col("tokens") / (2 * F.col("seat") - 1)), "shard", "seat")
+    more = more.withColumn("n", F.row_number().over(first)).filter("n <= left").groupBy("mix_name", "source", "shard").agg(F.count("*").alias("more"))
+    blocks = F.col("sure") + F.coalesce("more", F.lit(0))
+    return rows.join(more, ["mix_name", "source", "shard"], "left").select(
+        "mix_name", "source", "shard", "tokens", "max_repeats", blocks.alias("blocks")
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     targets: DataFrame,
@@ -98,9 +143,10 @@ def mix_sources(
     `shard_tokens` by a seeded hash; inside a shard they stand in seeded order, and every
     `block_tokens` of them form a block. Blocks are apportioned to sources by Sainte-Lague
     over the weights, capped at max_repeats times what the source has, then to the shards
-    of the source in the same way; of each shard whole rounds repeat everything, and the
-    rest of its quota picks blocks by a seeded hash. Without `total_tokens` a mix is made
-    as large as the scarcest source allows at its weight.
+    of the source in the same way (see shard_quotas); of each shard whole rounds repeat
+    everything, and the rest of its quota picks blocks by a seeded hash. Without
+    `total_tokens` a mix is made as large as the scarcest source allows at its weight. What
+    comes to the driver is per source of a mix, never per shard or document.
 
     A document goes with the block it begins in and is used at most max_repeats times.
     Sources without documents, with weight NULL or <= 0, or with max_repeats NULL or < 1
@@ -116,43 +162,35 @@ def mix_sources(
     sized = docs.filter("doc_id is not null and text != ''").join(wanted.select("source").distinct(), "source", "left_semi")
     sized = cut(sized.select("doc_id", "source", n_tokens("text", vocabulary).alias("n_tokens")).filter("n_tokens > 0"))
 
-    has = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()  # as many rows as sources in mixes
-    shards = {r.source: max(1, round(r.tokens / shard_tokens)) for r in has}
-    if not shards:
-        return sized.sparkSession.createDataFrame(
-            [], "mix_name string, doc_id long, source string, n_tokens long, repeats int"
-        )
-    n_shards = F.create_map(*[F.lit(x) for kv in shards.items() for x in kv])[F.col("source")]
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_shards))
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-    before = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    blocks = cut(dealt.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block_tokens)))
-
-    # One row per shard: the tables above in units of shard_tokens, so of bounded size.
-    supply = {
-        (r.source, r.shard): r.tokens for r in blocks.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).collect()
-    }
-    tokens = {r.source: r.tokens for r in has}
-    rows = []
+    tokens = {r.source: r.tokens for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
     mixes: dict[str, dict[str, tuple[float, int]]] = {}
     for r in wanted.collect():
         if r.source in tokens:
             mixes.setdefault(r.mix_name, {})[r.source] = (r.weight, r.max_repeats)
+    spark = sized.sparkSession
+    if not mixes:
+        return spark.createDataFrame([], "mix_name string, doc_id long, source string, n_tokens long, repeats int")
+    given = []
     for name, parts in sorted(mixes.items()):
         weights = {s: w for s, (w, _) in parts.items()}
-        caps = {s: tokens[s] * m // block_tokens for s, (_, m) in parts.items()}
+        caps = {s: -(-tokens[s] * m // block_tokens) for s, (_, m) in parts.items()}
         whole = sum(weights.values())
         most = min(tokens[s] * m * whole / weights[s] for s, (_, m) in parts.items())
         seats = int((most if total_tokens is None else total_tokens) // block_tokens)
-        quota = sainte_lague(weights, seats, caps)
-        for s, q in quota.items():
-            own = {k[1]: t for k, t in supply.items() if k[0] == s}
-            per = sainte_lague(own, q, {k: t * parts[s][1] // block_tokens for k, t in own.items()})
-            for shard, b in per.items():
-                rounds, rest = divmod(b * block_tokens, own[shard])
-                rows.append((name, s, shard, int(rounds), float(rest), parts[s][1]))
-    plan = sized.sparkSession.createDataFrame(
-        rows, "mix_name string, source string, shard long, rounds int, rest double, max_repeats int"
+        given += [(name, s, q, parts[s][1]) for s, q in sainte_lague(weights, seats, caps).items()]
+    quotas = spark.createDataFrame(given, "mix_name string, source string, quota long, max_repeats int")
+
+    shards = {s: max(1, round(t / shard_tokens)) for s, t in tokens.items()}
+    n_shards = F.create_map(*[F.lit(x) for kv in shards.items() for x in kv])[F.col("source")]
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_shards))
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
+    before = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = cut(dealt.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / block_tokens)))
+
+    supply = cut(blocks.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")))
+    own = F.col("blocks") * block_tokens
+    plan = shard_quotas(supply, quotas, block_tokens).select(
+        "mix_name", "source", "shard", "max_repeats", F.floor(own / F.col("tokens")).cast("int").alias("rounds"), (own % F.col("tokens")).cast("double").alias("rest")
     )
     # Blocks in seeded order until the rest of the quota is filled.
     sizes = blocks.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("size"))
