@@ -3,15 +3,14 @@
 Documents are cut into lines outside literal samples; each line is brought to a normal form
 in which placeholders, dummy Latin, keyboard mashing and the like are single marks. The
 distinct lines are the nodes of a near-duplicate graph (SimHash tables, Hamming distance,
-text similarity); trusted labels start at known residue and spread through its components.
+text similarity; shared rarest shingles for links beyond the distance). Trusted labels start
+at known wordings and at lines with a sure placeholder, and spread through its components.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,10 +200,20 @@ def normal_form(line: str) -> tuple[str, bool, list[str]]:
     return (form_of(tokens) if tokens else ""), sure, names
 
 
-def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool, list[str], list[str]]]:
-    """The lines of a document outside literal samples, as normal_form(), and their forms by all_marks().
+def few_shingles(form: str, tokens: list[str], most: int) -> bool:
+    """The form has at most `most` different shingles."""
+    if len(form) + 1 <= most:
+        return True
+    # Beginnings and ends of words, and inner shingles, are different ones; a few words prove most long lines.
+    some = tokens[: most // 2]
+    sure = len({t[:3] for t in some if len(t) > 2}) + len({t[-3:] for t in some if len(t) > 2}) + len({t[:4] for t in some if len(t) > 3})
+    return sure <= most and len(shingles(form)) <= most
 
-    Lines whose form is longer than the horizon and without placeholder are left out.
+
+def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool, list[str], list[str], bool]]:
+    """The lines of a document outside literal samples: as normal_form(), their forms by all_marks(), within the horizon.
+
+    Lines with more different shingles than the horizon and without placeholder are left out.
     """
     if "```" in text or "~~~" in text or "</" in text:
         text = _CODE.sub("\n", text)
@@ -225,10 +234,11 @@ def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool,
         if not tokens:
             continue
         form = form_of(tokens)
+        near = horizon is None or few_shingles(form, form.split(" "), horizon)
         if i in marked:
-            yield form, *marked[i]
-        elif horizon is None or len(form) <= horizon:
-            yield form, False, [], []
+            yield form, *marked[i], near
+        elif near:
+            yield form, False, [], [], True
 
 
 def shingles(form: str) -> set[str]:
@@ -291,102 +301,9 @@ def _simhash_batch(chunk: list[bytes]) -> np.ndarray:
     return np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-class Tables:
-    """Partitioned SimHash tables over a block of labelled lines.
-
-    Fingerprints within `radius` bits of each other agree in one of radius + 1 bands at
-    least, so looking each band up finds all of them; Hamming distance and similarity of
-    the texts then decide.
-    """
-
-    def __init__(self, forms: list[str], radius: int = 11):
-        self.forms = list(forms)
-        self.exact = set(forms)
-        self.radius = radius
-        self.hashes = simhashes(self.forms)
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.bands = []
-        for a, b in zip(edges, edges[1:]):
-            key = (self.hashes >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-            rows = np.zeros((1 << (b - a), len(self.forms)), bool)
-            rows[key.astype(np.int64), np.arange(len(self.forms))] = True
-            self.bands.append((np.uint64(a), np.uint64((1 << (b - a)) - 1), rows))
-        self.lengths = np.array([len(f) for f in self.forms])
-
-    def near(self, forms: list[str], hashes: np.ndarray, least: float) -> np.ndarray:
-        """Which of the lines are near-duplicates of a labelled one."""
-        out = np.zeros(len(forms), bool)
-        lengths = np.array([len(f) for f in forms])
-        for at in range(0, len(forms), 4096):
-            h = hashes[at : at + 4096]
-            hit = np.zeros((len(h), len(self.forms)), bool)
-            for shift, mask, rows in self.bands:
-                hit |= rows[((h >> shift) & mask).astype(np.int64)]
-            i, j = np.nonzero(hit)
-            n = lengths[at + i]
-            ok = (np.bitwise_count(h[i] ^ self.hashes[j]) <= self.radius) & (
-                np.minimum(n, self.lengths[j]) + 6 >= least * np.maximum(n, self.lengths[j])
-            )
-            for a, b in zip(i[ok].tolist(), j[ok].tolist()):
-                if not out[at + a] and similarity(forms[at + a], self.forms[b]) >= least:
-                    out[at + a] = True
-        return out
-
-
-class Shared:
-    """The shingles of a block of labelled lines, and which lines hold each: finds every line similar enough."""
-
-    def __init__(self, forms: list[str], least: float):
-        self.least = least
-        self.sizes: list[int] = []
-        self.holders: dict[str, list[int]] = {}
-        for j, f in enumerate(forms):
-            s = shingles(f)
-            self.sizes.append(len(s))
-            for x in s:
-                self.holders.setdefault(x, []).append(j)
-        known = self._codes("".join(self.holders))[::4]
-        self.known = np.zeros(1 << 20, bool)
-        self.known[(known & np.uint64(0xFFFFF)).astype(np.int64)] = True
-
-    @staticmethod
-    def _codes(text: str) -> np.ndarray:
-        """A 40-bit code per window of 4 characters."""
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        w = c[:-3] | (c[1:-2] << np.uint64(21)) | (c[2:-1] << np.uint64(42))
-        w = (w ^ (c[3:] * _SPREAD2)) * _SPREAD
-        return w >> np.uint64(24)
-
-    def _possible(self, forms: list[str]) -> np.ndarray:
-        """Lines of which enough distinct shingles may be known; one is let off, as codes may fall together."""
-        lens = np.fromiter(map(len, forms), np.int64, len(forms)) + 4
-        code = self._codes("".join(f"  {f}  " for f in forms) + "   ")
-        inside = np.ones(len(code), bool)
-        for k in (1, 2, 3):
-            inside[np.cumsum(lens) - k] = False
-        row = np.repeat(np.arange(len(forms), dtype=np.uint64), lens)
-        key = np.sort((row[inside] << np.uint64(40)) | code[inside])
-        key = key[np.r_[True, key[1:] != key[:-1]]]
-        row = (key >> np.uint64(40)).astype(np.int64)
-        hit = self.known[(key & np.uint64(0xFFFFF)).astype(np.int64)]
-        n, k = np.bincount(row, minlength=len(forms)), np.bincount(row[hit], minlength=len(forms))
-        return k + 1 >= self.least * n
-
-    def near(self, forms: list[str]) -> np.ndarray:
-        """Which of the lines are as similar to a labelled one as asked for."""
-        out = np.zeros(len(forms), bool)
-        for at in range(0, len(forms), 4096):
-            part = forms[at : at + 4096]
-            for i in np.flatnonzero(self._possible(part)).tolist():
-                mine = shingles(part[i])
-                held = [self.holders[x] for x in mine if x in self.holders]
-                if len(held) >= self.least * len(mine):
-                    both = Counter(j for h in held for j in h)
-                    out[at + i] = any(c / (len(mine) + self.sizes[j] - c) >= self.least for j, c in both.items())
-        return out
-
-
-_LINES = "doc_id {}, key long, form string, hash long, sure boolean, names array<string>, marked array<string>"
+WORDING, TEMPLATE, MARKS_ALONE = 0, 1, 2  # the graphs a line is a node of; the last has no links
+_SLOTS = 1 << 23  # of the bitmap of shingles, whatever their number
+_LINES = "doc_id {}, space int, key long, form string, hash long, trusted boolean, names array<string>"
 
 
 def _key(form: str) -> int:
@@ -394,38 +311,40 @@ def _key(form: str) -> int:
 
 
 def document_lines(docs: DataFrame, doc_id: str, text: str, horizon: int) -> DataFrame:
-    """One row per distinct line of a document: its normal form, SimHash, placeholders, forms by all_marks()."""
+    """A row per distinct line of a document and graph it is in: its form there, SimHash, whether a sure placeholder stands in it.
+
+    As a wording a line has its normal form; as a template its placeholders, unsure ones
+    too, are marks (how far a TODO reaches is open, hence several rows). Lines of nothing
+    but marks are like any other, so they are no node and only come out if trusted.
+    """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, forms, sure, names, marked = [], [], [], [], []
+            out: list[tuple] = []
             for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 if not t:
                     continue
-                seen: dict[str, list] = {}
-                for form, s, n, m in lines_of(t, horizon):
-                    x = seen.get(form)
-                    if x is None:
-                        seen[form] = [s, n, m]
-                    else:
-                        x[0] = x[0] or s
-                        x[1] = x[1] + n if n else x[1]
-                        x[2] = x[2] + m if m else x[2]
-                for form, (s, n, m) in seen.items():
-                    ids.append(d)
-                    forms.append(form)
-                    sure.append(s)
-                    names.append(n)
-                    marked.append(m)
+                seen: dict[tuple[int, str], list] = {}
+                for form, sure, names, marked, near in lines_of(t, horizon):
+                    if near:
+                        seen.setdefault((WORDING, form), [False, []])
+                    for f in dict.fromkeys([*([form] if sure else []), *marked]):
+                        space = TEMPLATE if f.replace(MARK, "").strip() else MARKS_ALONE
+                        # Marks alone have no likeness: what they are called keeps them apart.
+                        x = seen.setdefault((space, f if space == TEMPLATE else "\n".join([f, str(sure), *sorted(names)])), [False, []])
+                        x[0] = x[0] or sure
+                        x[1] = x[1] + names
+                out += [(d, space, f, *x) for (space, f), x in seen.items()]
+            ids, spaces, forms, sure, names = zip(*out) if out else ((), (), (), (), ())
             yield pd.DataFrame(
                 {
                     "doc_id": ids,
+                    "space": np.array(spaces, np.int32),
                     "key": np.array([_key(f) for f in forms], np.int64),
                     "form": forms,
                     "hash": simhashes(forms).view(np.int64),
-                    "sure": sure,
+                    "trusted": np.array(sure, bool),
                     "names": names,
-                    "marked": marked,
                 }
             )
 
@@ -434,67 +353,151 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, horizon: int) -> Dat
     return rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut_up, _LINES.format(kind))
 
 
-def near_lines(nodes: DataFrame, labelled: list[str], radius: int, least: float) -> DataFrame:
-    """The nodes that are near-duplicates of lines of one block; map-only.
+def _codes(text: str) -> np.ndarray:
+    """A 40-bit code per window of 4 characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    w = c[:-3] | (c[1:-2] << np.uint64(21)) | (c[2:-1] << np.uint64(42))
+    w = (w ^ (c[3:] * _SPREAD2)) * _SPREAD
+    return w >> np.uint64(24)
+
+
+def shingle_codes(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(form number, code) of all shingles, each once per form."""
+    lens = np.fromiter(map(len, forms), np.int64, len(forms)) + 4
+    code = _codes("".join(f"  {f}  " for f in forms) + "   ")
+    inside = np.ones(len(code), bool)
+    for k in (1, 2, 3):
+        inside[np.cumsum(lens) - k] = False
+    row = np.repeat(np.arange(len(forms), dtype=np.uint64), lens)
+    key = np.sort((row[inside] << np.uint64(40)) | code[inside])
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    return (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1)
+
+
+def _slots(code: np.ndarray, space: np.ndarray) -> np.ndarray:
+    return ((code ^ (space.astype(np.uint64) * np.uint64(0x5BD1E995))) & np.uint64(_SLOTS - 1)).astype(np.int64)
+
 
-    The SimHash tables find most of them; the rest, beyond the radius, by shared shingles.
+def possible(forms: list[str], spaces: np.ndarray, known: np.ndarray, least: float) -> np.ndarray:
+    """Which lines may have a near-duplicate among those whose shingles are known.
+
+    Similarity `least` to any one line needs that share of the own shingles in common with
+    it, and so with all of them together. One is let off, as codes may fall together.
     """
-    sent = nodes.sparkSession.sparkContext.broadcast(labelled)
+    out = np.zeros(len(forms), bool)
+    for at in range(0, len(forms), 4096):
+        part = forms[at : at + 4096]
+        row, code = shingle_codes(part)
+        hit = known[_slots(code, spaces[at : at + 4096][row])]
+        n, k = np.bincount(row, minlength=len(part)), np.bincount(row[hit], minlength=len(part))
+        out[at : at + 4096] = k + 1 >= least * n
+    return out
+
+
+def shingle_bitmap(front: DataFrame) -> np.ndarray:
+    """A bit per slot that a shingle of the lines falls in; 1 MB in all, however many they are."""
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, shared = Tables(sent.value, radius), Shared(sent.value, least)
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(_SLOTS, bool)
         for pdf in batches:
-            forms = pdf["form"].tolist()
-            near = tables.near(forms, pdf["hash"].to_numpy(np.int64).view(np.uint64), least)
-            rest = np.flatnonzero(~near)
-            near[rest] = shared.near([forms[i] for i in rest])
-            yield pdf.loc[near, ["key", "form"]]
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                row, code = shingle_codes(part["form"].tolist())
+                bits[_slots(code, part["space"].to_numpy()[row])] = True
+        parts = np.packbits(bits).reshape(-1, 4096)
+        at = np.flatnonzero(parts.any(axis=1))
+        yield pd.DataFrame({"part": at.astype(np.int32), "bits": [parts[k].tobytes() for k in at]})
 
-    return nodes.select("key", "form", "hash").mapInPandas(look, "key long, form string")
+    got = front.select("form", "space").mapInPandas(mark, "part int, bits binary").groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    out = np.zeros((_SLOTS // 8 // 4096, 4096), np.uint8)
+    for r in got.collect():  # 256 rows of 4 KB at most
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
 
 
-def blocks(df: DataFrame, col: str, size: int) -> Iterator[list]:
-    block: list = []
-    for r in df.select(col).toLocalIterator():
-        block.append(r[0])
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+def shingle_set(form) -> Column:
+    """shingles() as a Column."""
+    padded = F.concat(F.lit("  "), form, F.lit("  "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) + 1), lambda i: F.substring(padded, i, F.lit(4))))
+
+
+def _similar(a: Column, b: Column, least: float) -> Column:
+    x, y = shingle_set(a), shingle_set(b)
+    both = F.size(F.array_intersect(x, y))
+    return both >= least * (F.size(x) + F.size(y) - both) - 1e-9
 
 
-def spread(nodes: DataFrame, trusted: list[str], radius: int = 11, least: float = 0.8, block: int = 1024) -> DataFrame:
-    """(key): the nodes in components of the near-duplicate graph that hold a trusted line.
+def by_tables(lines: DataFrame, front: DataFrame, radius: int, least: float) -> DataFrame:
+    """(space, key): the lines that are near-duplicates of one of the front, by partitioned SimHash tables.
 
-    The components grow outwards from the trusted lines, a round at a time: what the last
-    round added is looked up against all nodes, in blocks of `block` lines, until a round
-    adds nothing. Lines that are in no such component are never linked, so the work follows
-    the residue found, not the square of the corpus.
+    A fingerprint is cut into 8 bytes, and every pair of them is a key of 16 bits into one
+    of 28 tables; those that agree in a key are compared by Hamming distance, then by their
+    texts. A table is a join on the key, so none is held by any one task; a line is done
+    with its first hit.
     """
-    found = None
-    front = trusted
+    byte = [F.shiftrightunsigned("hash", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
+    pairs = [(i, j) for i in range(8) for j in range(i)]
+    at = F.array(*[byte[i] * 256 + byte[j] + (F.col("space") * len(pairs) + k) * 65536 for k, (i, j) in enumerate(pairs)])
+    a = lines.select("space", "key", "form", "hash", F.explode(at).alias("at"))
+    b = front.select(F.col("form").alias("f_form"), F.col("hash").alias("f_hash"), F.explode(at).alias("f_at"))
+    close = F.bit_count(F.col("hash").bitwiseXOR(F.col("f_hash"))) <= radius
+    near = (F.col("at") == F.col("f_at")) & close & _similar(F.col("form"), F.col("f_form"), least)
+    return a.join(b, near, "left_semi").select("space", "key").distinct()
+
+
+def by_shingles(lines: DataFrame, front: DataFrame, least: float) -> DataFrame:
+    """(space, key): the lines that are near-duplicates of one of the front, whatever their fingerprints.
+
+    Two lines that are similar enough share one of the rarest shingles of each (as many as
+    may be missing, and one), so these are what the two sides are joined by.
+    """
+    count = front.select("space", F.explode(shingle_set(F.col("form"))).alias("s")).groupBy("space", "s").agg(F.count("*").alias("c"))
+
+    def rarest(df: DataFrame) -> DataFrame:
+        of = shingle_set(F.col("form"))
+        each = df.select("space", "key", "form", F.size(of).alias("n"), F.explode(of).alias("s")).join(count, ["space", "s"], "left")
+        one = F.struct(F.coalesce("c", F.lit(0)).alias("c"), "s")
+        ranked = each.groupBy("space", "key").agg(F.first("form").alias("form"), F.first("n").alias("n"), F.sort_array(F.collect_list(one)).alias("r"))
+        first = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)
+        known = F.filter(first, lambda x: x["c"] > 0)
+        return ranked.select("space", "key", "form", "n", F.explode(known["s"]).alias("s"))
+
+    b = rarest(front).select(F.col("space").alias("f_space"), F.col("form").alias("f_form"), F.col("n").alias("f_n"), F.col("s").alias("f_s"))
+    same = (F.col("space") == F.col("f_space")) & (F.col("s") == F.col("f_s"))
+    sizes = (F.col("n") >= least * F.col("f_n") - 1e-9) & (F.col("f_n") >= least * F.col("n") - 1e-9)
+    near = same & sizes & _similar(F.col("form"), F.col("f_form"), least)
+    return rarest(lines).join(b, near, "left_semi").select("space", "key").distinct()
+
+
+def spread(nodes: DataFrame, trusted: DataFrame, radius: int = 11, least: float = 0.8) -> DataFrame:
+    """(space, key, form): the nodes in components of the near-duplicate graph that hold a trusted line, and those lines.
+
+    Both have (space, key, form, hash). The components grow outwards from the trusted
+    lines, a round at a time, until a round adds nothing: nodes that may be linked to what
+    the last round added are picked out by a bitmap of its shingles, a map-only step that
+    loses none; these are looked up in the SimHash tables of the last round's lines, and
+    those not found there by their rarest shingles. Everything is a join on keys, nothing
+    comes to the driver but the bitmap, and lines in no such component are never linked, so
+    the work follows the residue found, not the square of the corpus.
+    """
+    spark = nodes.sparkSession
+    front = found = spill(trusted.select("space", "key", "form", "hash").dropDuplicates(["space", "key"]))
     while True:
-        parts = []
-        feed = [front[i : i + block] for i in range(0, len(front), block)] if isinstance(front, list) else blocks(front, "form", block)
-        for part in feed:
-            parts.append(near_lines(nodes, part, radius, least))
-        if not parts:
-            return found.select("key") if found is not None else nodes.select("key").limit(0)
-        new = parts[0]
-        for p in parts[1:]:
-            new = new.unionByName(p)
-        new = new.dropDuplicates(["key"])
-        if found is not None:
-            new = new.join(found.select("key"), "key", "left_anti")
-        new = spill(new)
-        if isinstance(front, list):  # the trusted wordings themselves need no second look
-            known = {_key(f) for f in front}
-            fresh = new.filter(~F.col("key").isin(*known)) if len(known) <= 4096 else new
-        else:
-            fresh = new
-        found = new if found is None else found.unionByName(new)
-        front = fresh
+        sent = spark.sparkContext.broadcast(shingle_bitmap(front))
+
+        def may(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            known = np.unpackbits(sent.value).view(bool)
+            for pdf in batches:
+                yield pdf[possible(pdf["form"].tolist(), pdf["space"].to_numpy(), known, least)]
+
+        lines = nodes.select("space", "key", "form", "hash").mapInPandas(may, "space int, key long, form string, hash long")
+        lines = spill(lines.join(found.select("space", "key"), ["space", "key"], "left_anti"))
+        near = spill(by_tables(lines, front, radius, least))
+        rest = lines.join(near, ["space", "key"], "left_anti")
+        new = spill(lines.join(near.unionByName(by_shingles(rest, front, least)), ["space", "key"], "left_semi"))
+        if new.isEmpty():
+            return found.select("space", "key", "form")
+        front, found = new, found.unionByName(new)
 
 
 def residue_lines(
@@ -509,48 +512,41 @@ def residue_lines(
     """(doc_id, key, kind): the lines of documents that are residue, by the key of their normal form.
 
     `kind` is 'wording' for lines in a component with a trusted wording, 'template' for
-    lines with a placeholder left standing. Placeholder spellings that mean other things
-    too ([DATE], <title>, «owner», %TEMP%) count if their name occurs in sure spellings in
-    `name_least` documents, or if the line is a near-duplicate of one with a sure
-    placeholder. Code blocks and inline code are literal samples and are left out; a
-    wording must make up the line, so quoting it in a sentence does not count.
+    lines in a component with a placeholder left standing. Placeholder spellings that mean
+    other things too ([DATE], <title>, «owner», %TEMP%) are trusted if their name occurs in
+    sure spellings in `name_least` documents; other such lines come out if they are in the
+    component of a trusted one. Lines without any placeholder are in no template component.
+    Code blocks and inline code are literal samples and are left out; a wording must make
+    up the line, so quoting it in a sentence does not count.
 
-    A line can only be a near-duplicate of one nearly as long, so lines beyond a horizon
-    need no node; should a component grow within reach of it, it is doubled and the lines
-    are read again.
+    Of two near-duplicates neither has more than 1 / `least` times the different shingles of
+    the other, so lines beyond a horizon of shingles need no node as a wording; should a
+    component grow within reach of it, it is doubled and the lines are read again.
 
     NULL and empty texts and NULL ids yield nothing; equal documents under several ids all
     come out; ids need not be unique. Other columns are not read. A hot line, such as a
     menu a third of the corpus carries, is one node; nothing is gathered per line.
     """
     seeds = sorted({normal_form(t)[0] for t in trusted} | {DUMMY, MASH, CROSS, DOTS})
-    horizon = int(1.6 * max(map(len, seeds)))
+    size = max(len(shingles(f)) for f in seeds)
+    horizon = 2 * size
+    hashes = simhashes(seeds).view(np.int64).tolist()
+    known = [(WORDING, _key(f), f, h) for f, h in zip(seeds, hashes)]
+    known = docs.sparkSession.createDataFrame(known, "space int, key long, form string, hash long")
+    named = sure_names(docs, doc_id, text, name_least)
     while True:
         lines = spill(document_lines(docs, doc_id, text, horizon))
-        nodes = spill(
-            lines.groupBy("key").agg(F.first("form").alias("form"), F.first("hash").alias("hash"), F.max(F.length("form")).alias("n"))
-        )
-        wording = spill(spread(nodes, seeds, radius, least))
-        longest = wording.join(nodes, "key").agg(F.max("n")).head()[0] or 0
-        if longest / least + 4 <= horizon:
+        nodes = lines.filter(F.col("space") != MARKS_ALONE).groupBy("space", "key").agg(F.first("form").alias("form"), F.first("hash").alias("hash"))
+        nodes = spill(nodes)
+        by_name = lines.filter("size(names) > 0 and not trusted").withColumn("name", F.explode("names")).join(named, "name", "left_semi")
+        sure = [df.select("space", "key", "form", "hash") for df in (lines.filter("trusted"), by_name)]
+        found = spread(nodes, known.unionByName(sure[0]).unionByName(sure[1]), radius, least)
+        longest = found.filter(F.col("space") == WORDING).agg(F.max(F.size(shingle_set(F.col("form"))))).head()[0]
+        if longest / least <= horizon:
             break
         horizon *= 2
-    wording = wording.withColumn("kind", F.lit("wording"))
-
-    sure = lines.filter("sure")
-    unsure = lines.filter("size(names) > 0 and not sure")
-    named = sure_names(docs, doc_id, text, name_least)
-    by_name = unsure.select("doc_id", "key", F.explode("names").alias("name")).join(named, "name", "left_semi")
-    left = unsure.join(by_name.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
-    by_likeness = near_template(left, sure, least)
-    template = sure.select("doc_id", "key").unionByName(by_name.select("doc_id", "key")).unionByName(by_likeness)
-    out = (
-        lines.select("doc_id", "key")
-        .join(wording, "key")
-        .select("doc_id", "key", "kind")
-        .unionByName(template.withColumn("kind", F.lit("template")))
-    )
-    return out.distinct()
+    kind = F.when(F.col("space") == WORDING, "wording").otherwise("template").alias("kind")
+    return lines.select("doc_id", "space", "key").join(found.select("space", "key"), ["space", "key"], "left_semi").select("doc_id", "key", kind).distinct()
 
 
 def sure_names(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
@@ -563,44 +559,6 @@ def sure_names(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame
     return named.select("d", name).groupBy("name").agg(F.count_distinct("d").alias("n")).filter(f"n >= {least}").select("name")
 
 
-def shingle_set(form) -> Column:
-    """shingles() as a Column."""
-    padded = F.concat(F.lit("  "), form, F.lit("  "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) + 1), lambda i: F.substring(padded, i, F.lit(4))))
-
-
-def near_template(unsure: DataFrame, sure: DataFrame, least: float) -> DataFrame:
-    """(doc_id, key): unsure lines that are near-duplicates of lines with a sure placeholder.
-
-    Both are compared with the unsure placeholders taken for marks too, by similarity()
-    alone. Two lines that are similar enough share one of the rarest shingles of each (as
-    many as may be missing, and one), so these are what the two sides are joined by; equal
-    forms are reduced to one row before they meet. A line of nothing but marks is like
-    any other, so it says nothing.
-    """
-    words = F.trim(F.regexp_replace("form", MARK, "")) != ""
-
-    def shingled(df: DataFrame) -> DataFrame:
-        return df.filter(words).distinct().withColumn("set", shingle_set(F.col("form")))
-
-    a = shingled(unsure.select(F.explode("marked").alias("form")))
-    b = shingled(sure.select(F.explode(F.array_union(F.array("form"), "marked")).alias("form")))
-    count = b.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"))
-
-    def rarest(df: DataFrame, form: str, size: str) -> DataFrame:
-        each = df.select("form", F.size("set").alias("n"), F.explode("set").alias("s")).join(count, "s", "left")
-        ranked = each.groupBy("form", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "s"))).alias("r"))
-        first = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)
-        return ranked.select(F.col("form").alias(form), F.col("n").alias(size), F.explode(first.s).alias("s"))
-
-    long_enough = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
-    pairs = rarest(a, "fa", "na").join(rarest(b, "fb", "nb"), "s").filter(long_enough).select("fa", "fb", "na", "nb").distinct()
-    both = F.size(F.array_intersect(shingle_set(F.col("fa")), shingle_set(F.col("fb"))))
-    near = pairs.filter(both >= least * (F.col("na") + F.col("nb") - both) - 1e-9).select(F.col("fa").alias("form")).distinct()
-    marked = unsure.select("doc_id", "key", F.explode("marked").alias("form"))
-    return marked.join(near, "form", "left_semi").select("doc_id", "key").distinct()
-
-
 def residue_documents(docs: DataFrame, **options) -> DataFrame:
     """(doc_id): documents with residue in them, wholly or in part, once each."""
     return residue_lines(docs, **options).select("doc_id").distinct()
