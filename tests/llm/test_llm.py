@@ -1,7 +1,10 @@
+import math
 import random
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trawl.llm import leaks, lookalikes, mixing, mojibake, residue, survivors
@@ -30,7 +33,7 @@ def test_survivor_order(spark):
     ]
     got = keep(spark, rows, roots)
     assert {x: r.keep_id for x, r in got.items()} == {"01010101": 1, "02020202": 7}
-    assert got["01010101"].mime_values == ["t"] and got["02020202"].newest_mtime == 10
+    assert got["02020202"].newest_mtime == 10
 
 
 def test_survivors_of_nothing(spark):
@@ -46,10 +49,83 @@ def test_quality_tells_good_sources_from_bad(spark):
     df = spark.createDataFrame(rows, "e string, s string, v string")
     claims = survivors.claims_of(df, "e", "s", "v")
     q = survivors.fit_quality(claims)
-    assert min(q.sensitivity[s] for s in ("good", "also")) > q.sensitivity["fair"] > q.sensitivity["bad"]
-    assert q.specificity["good"] > q.specificity["fair"] > q.specificity["bad"]
-    best = survivors.true_values(claims, q).collect()
-    assert sum(r["values"][0] == "true" for r in best) > 285
+    sens, spec = ({s: x for (_, s), x in of.items()} for of in (q.sensitivity, q.specificity))
+    assert min(sens[s] for s in ("good", "also")) > sens["fair"] > sens["bad"]
+    assert spec["good"] > spec["fair"] > spec["bad"]
+    best = [r for r in survivors.true_values(claims, q).collect() if r.best]
+    assert len(best) == 300 and sum(r.v == "true" for r in best) > 285
+
+
+def em_by_hand(claims, rounds=12):
+    """The same model, claim by claim."""
+    sources = sorted({s for _, _, pattern in claims for s, _ in pattern})
+    sens, spec, prior = dict.fromkeys(sources, 0.7), dict.fromkeys(sources, 0.9), 0.5
+    judge = lambda pattern: 1 / (1 + (1 - prior) / prior * math.prod((1 - spec[s]) / sens[s] if said else spec[s] / (1 - sens[s]) for s, said in pattern))
+    for _ in range(rounds):
+        t = [judge(p) for _, _, p in claims]
+        at = {s: [(x, said) for x, (_, _, p) in zip(t, claims) for z, said in p if z == s] for s in sources}
+        new = {s: (sum(x for x, said in at[s] if said) + 10) / (sum(x for x, _ in at[s]) + 20) for s in sources}
+        spec2 = {s: (sum(1 - x for x, said in at[s] if not said) + 90) / (sum(1 - x for x, _ in at[s]) + 100) for s in sources}
+        moved = max(max(abs(new[s] - sens[s]), abs(spec2[s] - spec[s])) for s in sources)
+        sens, spec, prior = new, spec2, (sum(t) + 10) / (len(t) + 20)
+        if moved < 1e-3:
+            break
+    return sens, spec, {(e, v) for e, v, p in claims if judge(p) >= 0.5}
+
+
+def planted(rng, n):
+    """Contents with two true names and one true type each, in four roots of different quality."""
+    quality = {"/a": (0.95, 0.02), "/b": (0.9, 0.05), "/c": (0.8, 0.1), "/d": (0.5, 0.6)}
+    rows, truth = [], {}
+    for e in range(n):
+        h = e.to_bytes(4, "big")
+        truth[h.hex()] = {f"n{e}", f"alias{e}"}
+        for root, (says, wrong) in quality.items():
+            told = [v for v in (f"n{e}", f"alias{e}") if rng.random() < says] + ([f"bad{rng.random()}"] if rng.random() < wrong else [])
+            for name in told or [f"bad{rng.random()}"]:
+                kind = "text/x" if rng.random() < says else f"odd/{rng.randint(0, 3)}"
+                rows.append((len(rows), f"{root}/{name}", 1, 50, kind, 1, h))
+    return rows, truth
+
+
+def test_fused_values_on_planted_truth(spark):
+    rows, truth = planted(random.Random(11), 250)
+    f = spark.createDataFrame([(i, p.rsplit("/", 1)[-1], p, s, m, mi, st, h, "clash", "clash") for i, p, s, m, mi, st, h in rows], FILES)
+    roots = spark.createDataFrame([(r, 1) for r in ("/a", "/b", "/c", "/d")], "root string, trust int")
+    meta = spark.createDataFrame([("last_full_index", "100")], "key string, value string")
+    got = survivors.fused_values(f, roots, meta).collect()
+    names = {}
+    for r in got:
+        if r.field == "name":
+            names.setdefault(r.hash_hex, set()).add(r.value)
+    said = {(r.hash_hex, v) for r in got for v in ()} | {(h, v) for h, vs in names.items() for v in vs}
+    want = {(h, v) for h, vs in truth.items() for v in vs if any(x[6].hex() == h and x[1].endswith("/" + v) for x in rows)}
+    assert len(said & want) / len(want) > 0.9 and len(said & want) / len(said) > 0.9
+    assert sum(len(v) > 1 for v in names.values()) > 180  # several true values are kept
+    kinds = [r.value for r in got if r.field == "mime" and r.best]
+    assert kinds.count("text/x") / len(kinds) > 0.97
+    built = {r.hash_hex: r for r in survivors.fused_files(f, roots, meta).collect()}
+    assert len(built) == len(truth) and sum(r.name in truth[h] for h, r in built.items()) / len(built) > 0.97
+    # The same as by hand, claim by claim.
+    covered, told = {}, {}
+    for _, p, _, _, _, _, h in rows:
+        covered.setdefault(h.hex(), set()).add(p[:2])
+        told.setdefault((h.hex(), p[3:]), set()).add(p[:2])
+    claims = [(e, v, [(s, s in said_) for s in sorted(covered[e])]) for (e, v), said_ in sorted(told.items())]
+    _, _, true = em_by_hand(claims)
+    best = {h for h in names if not any(e == h for e, _ in true)}
+    assert {x for x in said if x[0] not in best} == true
+
+
+def test_roots_of_paths(spark):
+    paths = ["x", "x/y", "/a", "/a/b", "/a//b", "", "/ab/c", "/a/b/c", None, "a/b/"]
+    listed = ["x", "/a", "/a/", "", "/a/b", "a", "a/b", None]
+    f = spark.createDataFrame([(p,) for p in paths], "path string")
+    for n in (len(listed), 400):  # however many there are
+        roots = spark.createDataFrame([(r, i) for i, r in enumerate(listed)] + [(f"/none{i}", i) for i in range(n)], "root string, trust int")
+        got = {r.path: r.root for r in survivors.with_root(f, roots).collect()}
+        fits = lambda p: max((r for r in listed if r is not None and p.startswith(r + "/")), key=len, default=None)
+        assert got == {p: None if p is None else fits(p) for p in paths}
 
 
 # 3 --------------------------------------------------------------------------------
@@ -69,12 +145,26 @@ def test_one_form():
 
 
 def test_conflicts_are_found():
-    with pytest.raises(lookalikes.MappingConflict):
-        lookalikes.compile_map([("é", "e"), ("é", "a")])
-    with pytest.raises(lookalikes.MappingConflict):
-        lookalikes.compile_map([("é", "è"), ("è", "e")])
-    with pytest.raises(lookalikes.MappingConflict):
-        lookalikes.compile_map([("l", "1")])
+    for rules in ([("é", "e"), ("é", "a")], [("é", "è"), ("è", "e")], [("l", "1")], [("", "e")], [("ab\u0307", "c\u0307"), ("c\u0307", "d")]):
+        with pytest.raises(lookalikes.MappingConflict):
+            lookalikes.Trie(rules)
+
+
+def test_the_longest_rule_is_applied():
+    rules = [("é", "e"), ("éè", "x"), ("éèü", "yz"), ("aü", "ä")]
+    t = lookalikes.Trie(rules)
+    brute = lambda s: s if not s else next((v + brute(s[len(k):]) for k, v in sorted(rules, key=lambda r: -len(r[0])) if s.startswith(k)), s[0] + brute(s[1:]))
+    rng = random.Random(3)
+    for _ in range(500):
+        s = "".join(rng.choice("éèüab") for _ in range(rng.randint(0, 9)))
+        assert t.rewrite(s) == brute(s)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aeiсоِ́̈각각ｶﾞ​\u200d")), max_size=12))
+def test_one_form_is_idempotent(s):
+    t = lookalikes.transducer()
+    assert t(t(s)) == t(s) == t(unicodedata.normalize("NFC", s))
 
 
 def test_same_looking(spark):
@@ -82,6 +172,9 @@ def test_same_looking(spark):
     got = lookalikes.same_looking(spark.createDataFrame(rows, "id long, path string, form int"))
     assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (2, 3), (2, 6), (3, 6), (7, 8)]
     assert lookalikes.same_looking(spark.createDataFrame([], "id long, path string")).count() == 0
+    classes = lookalikes.look_classes(spark.createDataFrame(rows, "id long, path string, form int"))
+    links = {i: sum(i in p for p in [(1, 2), (1, 3), (2, 3), (2, 6), (3, 6), (7, 8)]) for i in (1, 2, 3, 6, 7, 8)}
+    assert {r.id: (r.class_id, r.links) for r in classes.collect()} == {i: (7 if i > 6 else 1, n) for i, n in links.items()}
 
 
 # 4 --------------------------------------------------------------------------------
@@ -166,6 +259,31 @@ def test_shared_passages_are_not_instructions(spark):
     assert sorted(map(tuple, got)) == [*((1, i) for i in range(9)), *((2, 10 + i) for i in range(9)), (3, 10), (4, 30)]
 
 
+BITS = ["exam", "ple", "-", "‐", "\xad", "\r\n", "\n", "  ", "\r", "> ", "<b>", "</b>", "<br/>", "<p class=x>", "é", "e\u0301", "Σ", "ς", "İ", "ﬁ", "한", "\u200b", "_", "7", "<", "."]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(BITS), st.text(max_size=3)), max_size=14).map("".join))
+def test_words_and_their_places_agree(text):
+    found, start, end = leaks.words_at(text)
+    assert found == leaks.words(text)
+    assert all(0 <= a < b <= len(text) for a, b in zip(start, end)) and start == sorted(start)
+
+
+@pytest.mark.parametrize("brk", ["-\r\n", "-  \n", "- \r\n> ", "\xad\n", "‑\n"])
+def test_cuts_hit_the_right_words(spark, brk):
+    rng = random.Random(61)
+    w = sentence(rng, 30)
+    text = f"exam{brk}ple first words head one {' '.join(w[:14])} {w[14][:2]}{brk}{w[14][2:]} {' '.join(w[15:])} tail of it exam{brk}ple"
+    docs = spark.createDataFrame([(1, text, None), (2**60 + 1, "clean", 5), (None, text, 6)], "doc_id long, text string, __runs long")
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {r.doc_id: (r.text, r["__runs"]) for r in leaks.without_leaks(docs, items).collect()}
+    kept = leaks.words(got[1][0])
+    assert kept == "example first words head one tail of it example".split() and got[None][0] == got[1][0]
+    assert got[2**60 + 1] == ("clean", 5) and got[1][1] is None and got[None][1] == 6
+    assert "shuffle" not in leaks.without_leaks(docs, items)._jdf.queryExecution().executedPlan().toString().lower()
+
+
 # 7 --------------------------------------------------------------------------------
 
 
@@ -205,6 +323,36 @@ def test_mix(spark):
     assert all(r.n == r.w for r in count)
 
 
+def test_shards_are_apportioned_like_one_by_one(spark):
+    rng = random.Random(71)
+    shards = {s: {i: rng.randint(1, 4000) for i in range(n)} for s, n in (("a", 40), ("b", 7), ("c", 1))}
+    rows = spark.createDataFrame([(s, i, t) for s, of in shards.items() for i, t in of.items()], "source string, shard long, tokens long")
+    given_ = [(m, s, q, r) for m, s, q, r in (("x", "a", 90, 1), ("x", "b", 13, 5), ("x", "c", 2, 3), ("y", "a", 400, 4), ("y", "b", 10**6, 2), ("y", "c", 0, 1))]
+    quotas = spark.createDataFrame(given_, "mix_name string, source string, quota long, max_repeats int")
+    for left_over in (0, 10_000):
+        got = {}
+        for r in mixing.shard_quotas(rows, quotas, 100, left_over=left_over).collect():
+            got.setdefault((r.mix_name, r.source), {})[r.shard] = r.blocks
+        for m, s, q, r in given_:
+            caps = {i: -(-t * r // 100) for i, t in shards[s].items()}
+            assert got[m, s] == mixing.sainte_lague(shards[s], q, caps)
+
+
+def test_many_shards(spark):
+    """A hundred thousand shards: the driver still sees a row per source only."""
+    rows = spark.range(100_000).select(F.lit("a").alias("source"), F.col("id").alias("shard"), (F.lit(900_000) + F.pmod(F.hash("id"), 200_000)).cast("long").alias("tokens"))
+    quotas = spark.createDataFrame([("x", "a", 150_000_000, 2)], "mix_name string, source string, quota long, max_repeats int")
+    got = mixing.shard_quotas(rows, quotas, 512).agg(F.sum("blocks"), F.max(F.abs(F.col("blocks") / F.col("tokens") - F.lit(150_000_000) / F.lit(100_000 * 1_000_000)) * F.col("tokens"))).head()
+    assert got[0] == 150_000_000 and got[1] < 2
+
+
+def test_a_source_smaller_than_a_block(spark):
+    docs = spark.createDataFrame([(i, "word " * 200, "big") for i in range(40)] + [(99, "word " * 90, "tiny")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", "big", 9.0, 1), ("m", "tiny", 1.0, 3)], "mix_name string, source string, weight double, max_repeats int")
+    used = {r.source: r.max_used for r in mixing.mix_shares(mixing.mix_sources(docs, targets), targets).collect()}
+    assert used["tiny"] >= 1 and used["big"] == 1
+
+
 # 8 --------------------------------------------------------------------------------
 
 
@@ -219,18 +367,68 @@ def brute_hash(f):
     return sum(1 << k for k in range(64) if 2 * n[k] > len(b) - 3)
 
 
-def test_simhash_and_tables_match_brute_force():
+def test_simhashes_match_brute_force():
     rng = random.Random(8)
     forms = ["", "a", "é" * 30, "x" * 700] + [" ".join(sentence(rng, rng.randint(1, 12))) for _ in range(60)]
-    hashes = residue.simhashes(forms)
-    assert [int(h) for h in hashes] == [brute_hash(f) for f in forms]
-    near = [f[:-1] + "q" for f in forms[10:40] if f]
-    t = residue.Tables(near)
-    want = [
-        any(bin(int(h) ^ int(g)).count("1") <= 11 and residue.similarity(f, n) >= 0.8 for g, n in zip(t.hashes, near))
-        for f, h in zip(forms, hashes)
-    ]
-    assert t.near(forms, hashes, 0.8).tolist() == want and any(want)
+    assert [int(h) for h in residue.simhashes(forms)] == [brute_hash(f) for f in forms]
+
+
+def as_nodes(spark, forms, space=0):
+    hashes = residue.simhashes(forms).view("int64").tolist()
+    return spark.createDataFrame([(space, residue._key(f), f, h) for f, h in zip(forms, hashes)], "space int, key long, form string, hash long")
+
+
+def variants(rng, forms, n):
+    some = sorted({w for t in forms for w in t.split()})
+    out = set(forms)
+    for _ in range(n):
+        t = rng.choice(sorted(out)).split()
+        k = rng.randrange(len(t))
+        t[k] = rng.choice(some) if rng.random() < 0.3 else t[k] + rng.choice("aeinst")
+        out.add(" ".join(t))
+    return sorted(out)
+
+
+def test_components_match_brute_force(spark):
+    rng = random.Random(88)
+    trusted = sorted({residue.normal_form(t)[0] for t in residue.TRUSTED_LINES})[-40:]
+    long = "your session has expired sign in again to continue "
+    forms = [*variants(rng, trusted, 500), "", "a", "é" * 30, "x" * 700, "\U0001f600 page not found", "the page the page not the page", (long * 3 + "now").strip()]
+    labelled, front = set(trusted), trusted
+    while front:
+        front = [f for f in forms if f not in labelled and any(residue.similarity(f, t) >= 0.8 for t in front)]
+        labelled |= set(front)
+    got = residue.spread(as_nodes(spark, forms), as_nodes(spark, trusted))
+    assert {r.form for r in got.collect()} == labelled and len(labelled) > 60 and (long * 3 + "now").strip() in labelled
+    # Another graph's lines are no neighbours.
+    assert residue.spread(as_nodes(spark, forms, 1), as_nodes(spark, trusted)).count() == len(trusted)
+
+
+def test_tables_and_shingles(spark):
+    rng = random.Random(89)
+    trusted = sorted({residue.normal_form(t)[0] for t in residue.TRUSTED_LINES})
+    forms = [f for f in variants(rng, trusted, 300) if f not in trusted]
+    near = {f for f in forms if any(residue.similarity(f, t) >= 0.8 for t in trusted)}
+    close = {f for f in near if any(residue.similarity(f, t) >= 0.8 and bin(brute_hash(f) ^ brute_hash(t)).count("1") <= 11 for t in trusted)}
+    a, b, keys = as_nodes(spark, forms), as_nodes(spark, trusted), {residue._key(f): f for f in forms}
+    tables = {keys[r.key] for r in residue.by_tables(a, b, 11, 0.8).collect()}
+    assert tables <= close and len(tables) > 0.9 * len(close)  # six differing bits at most are always found
+    assert {f for f in close if any(bin(brute_hash(f) ^ brute_hash(t)).count("1") <= 6 and residue.similarity(f, t) >= 0.8 for t in trusted)} <= tables
+    assert {keys[r.key] for r in residue.by_shingles(a, b, 0.8).collect()} == near
+
+
+def test_horizon_is_of_shingles():
+    rng = random.Random(90)
+    for _ in range(300):
+        f = " ".join(sentence(rng, rng.randint(1, 4)) * rng.randint(1, 9) + sentence(rng, rng.randint(0, 30)))
+        most = rng.randint(5, 150)
+        assert residue.few_shingles(f, f.split(" "), most) == (len(residue.shingles(f)) <= most)
+
+
+def test_lines_that_say_a_seed_several_times(spark):
+    t = "Your session has expired. Sign in again to continue. Your session has expired. Sign in again to continue. Your session has expired. Sign in again now."
+    assert residue.similarity(residue.normal_form(t)[0], residue.normal_form(t[:52])[0]) >= 0.8
+    assert residue.residue_documents(spark.createDataFrame([(1, t)], "doc_id long, text string")).count() == 1
 
 
 def test_forms():
@@ -263,22 +461,7 @@ def test_components_grow(spark):
     chain = ["the page you asked for could not be shown to you at this time", "the page you asked for could not be shown to you at this hour", "the page you asked for could not be shown to us at this hour", "the page we asked for could not be shown to us at this hour"]
     df = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
     assert residue.similarity(chain[0], chain[3]) < 0.8
-    assert residue.residue_documents(df, trusted=(chain[0],), radius=24).count() == 4
-
-
-def test_near_lines_miss_nothing(spark):
-    rng = random.Random(88)
-    trusted = sorted({residue.normal_form(t)[0] for t in residue.TRUSTED_LINES})
-    some = sorted({w for t in trusted for w in t.split()})
-    forms = {" ".join(rng.choice(some) if k == at else w for k, w in enumerate(t.split())) for t in trusted for at in range(12)}
-    forms = [*sorted(forms), "", "a", "é" * 30, "x" * 700, "\U0001f600 page not found", "the page the page not the page"]
-    want = [any(residue.similarity(f, t) >= 0.8 for t in trusted) for f in forms]
-    assert residue.Shared(trusted, 0.8).near(forms).tolist() == want and any(want) and not all(want)
-    hashes = residue.simhashes(forms)
-    far = [f for f, w, near in zip(forms, want, residue.Tables(trusted).near(forms, hashes, 0.8)) if w and not near]
-    assert far
-    df = spark.createDataFrame(list(enumerate(far)), "doc_id long, text string")
-    assert residue.residue_documents(df).count() == len(far)
+    assert residue.residue_documents(df, trusted=(chain[0],)).count() == 4
 
 
 def test_unsure_placeholders_by_likeness(spark):

@@ -8,24 +8,30 @@ from trawl.llm import leaks, lookalikes, mixing, mojibake, residue, survivors
 from trawl.runtime import table
 
 
-def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.surviving_files(
-        table(spark, sf_dir, "files"), table(spark, sf_dir, "index_roots"), table(spark, sf_dir, "meta")
-    )
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    return tuple(table(spark, sf_dir, n) for n in ("files", "index_roots", "meta"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _survivors(spark, sf_dir).select("hash_hex", "keep_id")
+    return survivors.surviving_files(*_tables(spark, sf_dir)).select("hash_hex", "keep_id")
 
 
 def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _survivors(spark, sf_dir)
+    return survivors.fused_files(*_tables(spark, sf_dir))
+
+
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.fused_values(*_tables(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.same_looking(table(spark, sf_dir, "files"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_classes(table(spark, sf_dir, "files"))
+
+
 def p3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").select("id", lookalikes.one_form("name").alias("name"))
 
@@ -67,8 +73,10 @@ def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_fused": p1_fused,
+        "p1_values": p1_values,
         "p3_found": p3_found,
         "p3_names": p3_names,
+        "p3_classes": p3_classes,
         "p4_found": p4_found,
         "p4_restored": p4_restored,
         "p6_found": p6_found,
