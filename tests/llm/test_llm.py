@@ -393,13 +393,13 @@ def test_components_match_brute_force(spark):
     rng = random.Random(88)
     trusted = sorted({residue.normal_form(t)[0] for t in residue.TRUSTED_LINES})[-40:]
     long = "your session has expired sign in again to continue "
-    forms = [*variants(rng, trusted, 500), "", "a", "é" * 30, "x" * 700, "\U0001f600 page not found", "the page the page not the page", (long * 3 + "now").strip()]
+    forms = [*variants(rng, trusted, 220), "", "a", "é" * 30, "x" * 700, "\U0001f600 page not found", "the page the page not the page", (long * 3 + "now").strip()]
     labelled, front = set(trusted), trusted
     while front:
         front = [f for f in forms if f not in labelled and any(residue.similarity(f, t) >= 0.8 for t in front)]
         labelled |= set(front)
     got = residue.spread(as_nodes(spark, forms), as_nodes(spark, trusted))
-    assert {r.form for r in got.collect()} == labelled and len(labelled) > 60 and (long * 3 + "now").strip() in labelled
+    assert {r.form for r in got.collect()} == labelled and len(labelled) > 45 and (long * 3 + "now").strip() in labelled
     # Another graph's lines are no neighbours.
     assert residue.spread(as_nodes(spark, forms, 1), as_nodes(spark, trusted)).count() == len(trusted)
 
@@ -410,7 +410,9 @@ def test_tables_and_shingles(spark):
     forms = [f for f in variants(rng, trusted, 300) if f not in trusted]
     near = {f for f in forms if any(residue.similarity(f, t) >= 0.8 for t in trusted)}
     close = {f for f in near if any(residue.similarity(f, t) >= 0.8 and bin(brute_hash(f) ^ brute_hash(t)).count("1") <= 11 for t in trusted)}
-    a, b, keys = as_nodes(spark, forms), as_nodes(spark, trusted), {residue._key(f): f for f in forms}
+    a, b = (residue.with_sets(as_nodes(spark, x)).persist() for x in (forms, trusted))
+    keys = {residue._key(f): f for f in forms}
+    assert {r.form: len(r.set) for r in a.collect()} == {f: len(residue.shingles(f)) for f in forms}
     tables = {keys[r.key] for r in residue.by_tables(a, b, 11, 0.8).collect()}
     assert tables <= close and len(tables) > 0.9 * len(close)  # six differing bits at most are always found
     assert {f for f in close if any(bin(brute_hash(f) ^ brute_hash(t)).count("1") <= 6 and residue.similarity(f, t) >= 0.8 for t in trusted)} <= tables
@@ -419,10 +421,9 @@ def test_tables_and_shingles(spark):
 
 def test_horizon_is_of_shingles():
     rng = random.Random(90)
-    for _ in range(300):
-        f = " ".join(sentence(rng, rng.randint(1, 4)) * rng.randint(1, 9) + sentence(rng, rng.randint(0, 30)))
-        most = rng.randint(5, 150)
-        assert residue.few_shingles(f, f.split(" "), most) == (len(residue.shingles(f)) <= most)
+    forms = [" ".join(sentence(rng, rng.randint(1, 4)) * rng.randint(1, 40) + sentence(rng, rng.randint(0, 30))) for _ in range(1500)]
+    for most in (5, 60, 120):
+        assert residue.few_shingles(forms, most).tolist() == [len(residue.shingles(f)) <= most for f in forms]
 
 
 def test_lines_that_say_a_seed_several_times(spark):

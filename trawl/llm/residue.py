@@ -200,21 +200,8 @@ def normal_form(line: str) -> tuple[str, bool, list[str]]:
     return (form_of(tokens) if tokens else ""), sure, names
 
 
-def few_shingles(form: str, tokens: list[str], most: int) -> bool:
-    """The form has at most `most` different shingles."""
-    if len(form) + 1 <= most:
-        return True
-    # Beginnings and ends of words, and inner shingles, are different ones; a few words prove most long lines.
-    some = tokens[: most // 2]
-    sure = len({t[:3] for t in some if len(t) > 2}) + len({t[-3:] for t in some if len(t) > 2}) + len({t[:4] for t in some if len(t) > 3})
-    return sure <= most and len(shingles(form)) <= most
-
-
-def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool, list[str], list[str], bool]]:
-    """The lines of a document outside literal samples: as normal_form(), their forms by all_marks(), within the horizon.
-
-    Lines with more different shingles than the horizon and without placeholder are left out.
-    """
+def lines_of(text: str) -> Iterator[tuple[str, bool, list[str], list[str]]]:
+    """The lines of a document outside literal samples: as normal_form(), and their forms by all_marks()."""
     if "```" in text or "~~~" in text or "</" in text:
         text = _CODE.sub("\n", text)
     if "`" in text:
@@ -233,12 +220,7 @@ def lines_of(text: str, horizon: int | None = None) -> Iterator[tuple[str, bool,
         tokens = line.split()
         if not tokens:
             continue
-        form = form_of(tokens)
-        near = horizon is None or few_shingles(form, form.split(" "), horizon)
-        if i in marked:
-            yield form, *marked[i], near
-        elif near:
-            yield form, False, [], [], True
+        yield form_of(tokens), *marked.get(i, (False, [], []))
 
 
 def shingles(form: str) -> set[str]:
@@ -321,12 +303,13 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, horizon: int) -> Dat
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
-            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                if not t:
-                    continue
+            texts = [(d, list(lines_of(t))) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if t]
+            long = list({x[0] for _, lines in texts for x in lines if len(x[0]) >= horizon})
+            near = {f for f, few in zip(long, few_shingles(long, horizon)) if few}
+            for d, lines in texts:
                 seen: dict[tuple[int, str], list] = {}
-                for form, sure, names, marked, near in lines_of(t, horizon):
-                    if near:
+                for form, sure, names, marked in lines:
+                    if len(form) < horizon or form in near:
                         seen.setdefault((WORDING, form), [False, []])
                     for f in dict.fromkeys([*([form] if sure else []), *marked]):
                         space = TEMPLATE if f.replace(MARK, "").strip() else MARKS_ALONE
@@ -374,6 +357,18 @@ def shingle_codes(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1)
 
 
+def few_shingles(forms: list[str], most: int) -> np.ndarray:
+    """Which forms have at most `most` different shingles."""
+    out = np.zeros(len(forms), bool)
+    for at in range(0, len(forms), 1024):
+        part = forms[at : at + 1024]
+        # The beginning of most long lines proves too many (its padding adds three); the others are counted whole.
+        n = np.bincount(shingle_codes([f[: most + 64] for f in part])[0], minlength=len(part))
+        for i in np.flatnonzero(n <= most + 3).tolist():
+            out[at + i] = len(shingles(part[i])) <= most
+    return out
+
+
 def _slots(code: np.ndarray, space: np.ndarray) -> np.ndarray:
     return ((code ^ (space.astype(np.uint64) * np.uint64(0x5BD1E995))) & np.uint64(_SLOTS - 1)).astype(np.int64)
 
@@ -415,16 +410,37 @@ def shingle_bitmap(front: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def shingle_set(form) -> Column:
-    """shingles() as a Column."""
-    padded = F.concat(F.lit("  "), form, F.lit("  "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) + 1), lambda i: F.substring(padded, i, F.lit(4))))
+_NODE = "space int, key long, form string, hash long, set array<long>"
+
 
+def with_sets(nodes: DataFrame, known: np.ndarray | None = None, least: float = 0.8) -> DataFrame:
+    """Nodes with the codes of their shingles; given a bitmap, only those that are possible (see there)."""
+    sent = None if known is None else nodes.sparkSession.sparkContext.broadcast(known)
 
-def _similar(a: Column, b: Column, least: float) -> Column:
-    x, y = shingle_set(a), shingle_set(b)
-    both = F.size(F.array_intersect(x, y))
-    return both >= least * (F.size(x) + F.size(y) - both) - 1e-9
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = None if sent is None else np.unpackbits(sent.value).view(bool)
+        for pdf in batches:
+            if bits is not None:
+                pdf = pdf[possible(pdf["form"].tolist(), pdf["space"].to_numpy(), bits, least)]
+            sets: list[np.ndarray] = []
+            for at in range(0, len(pdf), 4096):
+                part = pdf["form"].iloc[at : at + 4096].tolist()
+                row, code = shingle_codes(part)
+                sets += np.split(code.astype(np.int64), np.searchsorted(row, np.arange(1, len(part))))
+            yield pdf.assign(set=pd.Series(sets, index=pdf.index, dtype=object))
+
+    return nodes.select("space", "key", "form", "hash").mapInPandas(add, _NODE)
+
+
+def _similar(least: float) -> Column:
+    """The sets of a line and of one of the front are similar; codes of 40 bits hardly ever fall together."""
+    both = F.size(F.array_intersect("set", "f_set"))
+    return both >= least * (F.size("set") + F.size("f_set") - both) - 1e-9
+
+
+def _sizes_fit(least: float) -> Column:
+    n, m = F.size("set"), F.size("f_set")
+    return (n >= least * m - 1e-9) & (m >= least * n - 1e-9)
 
 
 def by_tables(lines: DataFrame, front: DataFrame, radius: int, least: float) -> DataFrame:
@@ -438,10 +454,10 @@ def by_tables(lines: DataFrame, front: DataFrame, radius: int, least: float) ->
     byte = [F.shiftrightunsigned("hash", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
     pairs = [(i, j) for i in range(8) for j in range(i)]
     at = F.array(*[byte[i] * 256 + byte[j] + (F.col("space") * len(pairs) + k) * 65536 for k, (i, j) in enumerate(pairs)])
-    a = lines.select("space", "key", "form", "hash", F.explode(at).alias("at"))
-    b = front.select(F.col("form").alias("f_form"), F.col("hash").alias("f_hash"), F.explode(at).alias("f_at"))
+    a = lines.select("space", "key", "set", "hash", F.explode(at).alias("at"))
+    b = front.select(F.col("set").alias("f_set"), F.col("hash").alias("f_hash"), F.explode(at).alias("f_at"))
     close = F.bit_count(F.col("hash").bitwiseXOR(F.col("f_hash"))) <= radius
-    near = (F.col("at") == F.col("f_at")) & close & _similar(F.col("form"), F.col("f_form"), least)
+    near = (F.col("at") == F.col("f_at")) & close & _sizes_fit(least) & _similar(least)
     return a.join(b, near, "left_semi").select("space", "key").distinct()
 
 
@@ -451,26 +467,23 @@ def by_shingles(lines: DataFrame, front: DataFrame, least: float) -> DataFrame:
     Two lines that are similar enough share one of the rarest shingles of each (as many as
     may be missing, and one), so these are what the two sides are joined by.
     """
-    count = front.select("space", F.explode(shingle_set(F.col("form"))).alias("s")).groupBy("space", "s").agg(F.count("*").alias("c"))
+    count = front.select("space", F.explode("set").alias("s")).groupBy("space", "s").agg(F.count("*").alias("c"))
 
     def rarest(df: DataFrame) -> DataFrame:
-        of = shingle_set(F.col("form"))
-        each = df.select("space", "key", "form", F.size(of).alias("n"), F.explode(of).alias("s")).join(count, ["space", "s"], "left")
+        each = df.select("space", "key", F.explode("set").alias("s")).join(count, ["space", "s"], "left")
         one = F.struct(F.coalesce("c", F.lit(0)).alias("c"), "s")
-        ranked = each.groupBy("space", "key").agg(F.first("form").alias("form"), F.first("n").alias("n"), F.sort_array(F.collect_list(one)).alias("r"))
-        first = F.slice("r", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)
-        known = F.filter(first, lambda x: x["c"] > 0)
-        return ranked.select("space", "key", "form", "n", F.explode(known["s"]).alias("s"))
+        ranked = each.groupBy("space", "key").agg(F.sort_array(F.collect_list(one)).alias("r"))
+        n = F.size("r")
+        first = F.filter(F.slice("r", F.lit(1), n - F.ceil(F.lit(least) * n - 1e-9).cast("int") + 1), lambda x: x["c"] > 0)
+        return ranked.select("space", "key", F.explode(first["s"]).alias("s")).join(df.select("space", "key", "set"), ["space", "key"])
 
-    b = rarest(front).select(F.col("space").alias("f_space"), F.col("form").alias("f_form"), F.col("n").alias("f_n"), F.col("s").alias("f_s"))
+    b = rarest(front).select(F.col("space").alias("f_space"), F.col("set").alias("f_set"), F.col("s").alias("f_s"))
     same = (F.col("space") == F.col("f_space")) & (F.col("s") == F.col("f_s"))
-    sizes = (F.col("n") >= least * F.col("f_n") - 1e-9) & (F.col("f_n") >= least * F.col("n") - 1e-9)
-    near = same & sizes & _similar(F.col("form"), F.col("f_form"), least)
-    return rarest(lines).join(b, near, "left_semi").select("space", "key").distinct()
+    return rarest(lines).join(b, same & _sizes_fit(least) & _similar(least), "left_semi").select("space", "key").distinct()
 
 
 def spread(nodes: DataFrame, trusted: DataFrame, radius: int = 11, least: float = 0.8) -> DataFrame:
-    """(space, key, form): the nodes in components of the near-duplicate graph that hold a trusted line, and those lines.
+    """(space, key, form, set): the nodes in components of the near-duplicate graph that hold a trusted line, and those lines.
 
     Both have (space, key, form, hash). The components grow outwards from the trusted
     lines, a round at a time, until a round adds nothing: nodes that may be linked to what
@@ -480,23 +493,15 @@ def spread(nodes: DataFrame, trusted: DataFrame, radius: int = 11, least: float
     comes to the driver but the bitmap, and lines in no such component are never linked, so
     the work follows the residue found, not the square of the corpus.
     """
-    spark = nodes.sparkSession
-    front = found = spill(trusted.select("space", "key", "form", "hash").dropDuplicates(["space", "key"]))
+    front = found = spill(with_sets(trusted.dropDuplicates(["space", "key"])))
     while True:
-        sent = spark.sparkContext.broadcast(shingle_bitmap(front))
-
-        def may(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            known = np.unpackbits(sent.value).view(bool)
-            for pdf in batches:
-                yield pdf[possible(pdf["form"].tolist(), pdf["space"].to_numpy(), known, least)]
-
-        lines = nodes.select("space", "key", "form", "hash").mapInPandas(may, "space int, key long, form string, hash long")
+        lines = with_sets(nodes, shingle_bitmap(front), least)
         lines = spill(lines.join(found.select("space", "key"), ["space", "key"], "left_anti"))
         near = spill(by_tables(lines, front, radius, least))
         rest = lines.join(near, ["space", "key"], "left_anti")
         new = spill(lines.join(near.unionByName(by_shingles(rest, front, least)), ["space", "key"], "left_semi"))
         if new.isEmpty():
-            return found.select("space", "key", "form")
+            return found.select("space", "key", "form", "set")
         front, found = new, found.unionByName(new)
 
 
@@ -529,7 +534,7 @@ def residue_lines(
     """
     seeds = sorted({normal_form(t)[0] for t in trusted} | {DUMMY, MASH, CROSS, DOTS})
     size = max(len(shingles(f)) for f in seeds)
-    horizon = 2 * size
+    horizon = int(1.6 * size)
     hashes = simhashes(seeds).view(np.int64).tolist()
     known = [(WORDING, _key(f), f, h) for f, h in zip(seeds, hashes)]
     known = docs.sparkSession.createDataFrame(known, "space int, key long, form string, hash long")
@@ -541,7 +546,7 @@ def residue_lines(
         by_name = lines.filter("size(names) > 0 and not trusted").withColumn("name", F.explode("names")).join(named, "name", "left_semi")
         sure = [df.select("space", "key", "form", "hash") for df in (lines.filter("trusted"), by_name)]
         found = spread(nodes, known.unionByName(sure[0]).unionByName(sure[1]), radius, least)
-        longest = found.filter(F.col("space") == WORDING).agg(F.max(F.size(shingle_set(F.col("form"))))).head()[0]
+        longest = found.filter(F.col("space") == WORDING).agg(F.max(F.size("set"))).head()[0]
         if longest / least <= horizon:
             break
         horizon *= 2
