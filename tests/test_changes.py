@@ -1,8 +1,10 @@
+import random
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
-from trawl.operators.incremental import Ledger, available_intervals, changed_paths, merge, run_incremental, subtract
+from trawl.operators.incremental import Ledger, available_intervals, changed_paths, merge, run_incremental, subtract, within
 from trawl.operators.snapshots import snapshot_changes
 
 T = lambda s: datetime.fromtimestamp(s, timezone.utc)
@@ -55,18 +57,18 @@ def test_intervals_against_sets():
 def test_runs_survive_failure_and_take_in_late_numbers(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     batch = lambda nums: spark.createDataFrame([(n, n * 10) for n in nums], "seq int, v int")
-    run_incremental(batch([1, 2, 5]), "seq", ledger, lambda d: d)
+    run_incremental(batch([1, 2, 5]), "seq", ledger, lambda d, gaps: d)
     assert ledger.read().intervals == [(1, 2), (5, 5)]
 
-    def dies(d):
+    def dies(d, gaps):
         d.write.parquet(str(tmp_path / "half"))
         raise OSError("executor lost")
 
     with pytest.raises(OSError):
         run_incremental(batch([1, 2, 3, 5, 6]), "seq", ledger, dies)
     assert ledger.read().intervals == [(1, 2), (5, 5)]
-    run_incremental(batch([1, 2, 3, 5, 6]), "seq", ledger, lambda d: d)
-    state = run_incremental(batch([1, 2, 3, 5, 6]), "seq", ledger, lambda d: d)
+    run_incremental(batch([1, 2, 3, 5, 6]), "seq", ledger, lambda d, gaps: d)
+    state = run_incremental(batch([1, 2, 3, 5, 6]), "seq", ledger, lambda d, gaps: d)
     assert state.version == 2 and sorted(r.seq for r in ledger.output().collect()) == [1, 2, 3, 5, 6]
     stale = ledger.read()
     ledger.commit(stale, [(9, 9)], state.outputs[0])
@@ -74,6 +76,29 @@ def test_runs_survive_failure_and_take_in_late_numbers(spark, tmp_path):
         ledger.commit(stale, [(9, 9)], state.outputs[0])
 
 
+def test_many_gaps(spark):
+    rng = random.Random(12)
+    have = sorted(rng.sample(range(5000), 3000))
+    df = spark.createDataFrame([(n,) for n in [*have, None]], "n long")
+    gaps = merge((n, n) for n in rng.sample(range(-5, 5005), 180))
+    want = sorted(n for n in have if any(a <= n <= b for a, b in gaps))
+    for inline in (10, 200):
+        assert sorted(r.n for r in df.filter(within(F.col("n"), gaps, inline)).collect()) == want
+    assert df.filter(within(F.col("n"), [])).count() == 0
+
+
+def test_changed_paths_of_one_ledger(spark, tmp_path):
+    d, base = spark.createDataFrame, str(tmp_path / "ledger")
+    files, runs = d([("a", 1, 1, 1, "x"), ("b", 1, 1, 1, "x")], FILES), d([(1, "ok", 2)], RUNS)
+    first = [(1, 2, "a", 9, 9, T(1)), (2, 3, "a", 2, 1, T(2)), (3, 5, "b", 2, 1, T(2))]
+    run = lambda reads: sorted(r.path for r in changed_paths(files, d(reads, READS), runs, base).collect())
+    assert run(first) == ["a", "b"] and run(first) == []
+    assert Ledger(spark, base).read().intervals == [(-(2**62), 3), (5, 5)]
+    # Batch 4 comes late, and lies in a gap.
+    assert run([*first, (4, 4, "b", 3, 1, T(3)), (5, 4, "c", 3, 1, T(3)), (6, 4, "a", 3, 1, T(1))]) == ["b", "c"]
+    assert Ledger(spark, base).read().intervals == [(-(2**62), 5)]
+
+
 def test_available(spark):
     df = spark.createDataFrame([(n,) for n in (1, 2, 2, 4, None, (1 << 20) - 1, 1 << 20)], "n long")
     assert available_intervals(df, "n") == [(1, 2), (4, 4), ((1 << 20) - 1, 1 << 20)]

@@ -7,8 +7,14 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from trawl.commits import Folder
+from trawl.runtime import scratch
 
 Interval = tuple[int, int]
 
@@ -41,10 +47,25 @@ def subtract(available: Iterable[Interval], processed: Iterable[Interval]) -> li
     return out
 
 
-def within(col: Column, intervals: Iterable[Interval]) -> Column:
-    """Predicate: the number lies in one of the intervals (pushed down to the scan)."""
+def within(col: Column, intervals: Iterable[Interval], inline: int = 200) -> Column:
+    """Predicate: the number lies in one of the intervals.
+
+    Up to `inline` intervals are one pushed-down test each; more are looked up by binary
+    search behind a pushed-down range.
+    """
+    intervals = merge(intervals)
+    if len(intervals) > inline:
+        lows, highs = np.array(intervals, np.int64).T
+
+        @F.pandas_udf(BooleanType())
+        def inside(n: pd.Series) -> pd.Series:
+            x = n.to_numpy(np.int64)
+            return pd.Series(x <= highs[np.maximum(np.searchsorted(lows, x, side="right") - 1, 0)])
+
+        reach = F.coalesce(col.between(F.lit(intervals[0][0]), F.lit(intervals[-1][1])), F.lit(False))
+        return reach & inside(F.coalesce(col, F.lit(intervals[0][0])).cast("long"))
     test: Column = F.lit(False)
-    for lo, hi in merge(intervals):
+    for lo, hi in intervals:
         test = test | col.between(F.lit(lo), F.lit(hi))
     return test
 
@@ -78,47 +99,29 @@ class Committed:
 class Ledger:
     """Which sequence numbers are processed, and the outputs they went into.
 
-    A commit is one small file, `commit-<n>.json`, holding the merged intervals together
-    with the list of output folders. It is written under another name and then renamed,
-    without replacing: of two writers of the same number one fails, and a run that dies
-    at any point leaves either the old state or the new one. Folders no commit names are
-    leftovers of dead runs; readers never see them.
+    A commit is one small file holding the merged intervals together with the list of
+    output folders; see trawl.commits: of two writers of the same number one fails, and a
+    run that dies at any point leaves either the old state or the new one. Folders no
+    commit names are leftovers of dead runs; readers never see them.
     """
 
     def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.base))
-
-    def _versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.base))]
-        return sorted(int(n[7:-5]) for n in names if n.startswith("commit-") and n.endswith(".json"))
+        self.spark, self.folder = spark, Folder(spark, base)
+        self.base = self.folder.base
+        self.folder.make()
 
     def read(self) -> Committed:
-        versions = self._versions()
+        versions = self.folder.numbers()
         if not versions:
             return Committed(0, [], [])
-        stream = self._fs.open(self._path(f"{self.base}/commit-{versions[-1]}.json"))
-        try:
-            doc = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        doc = json.loads(self.folder.read(versions[-1]))
         return Committed(versions[-1], [tuple(x) for x in doc["intervals"]], doc["outputs"])
 
-    def commit(self, seen: Committed, gaps: list[Interval], output: str) -> Committed:
-        new = Committed(seen.version + 1, merge([*seen.intervals, *gaps]), [*seen.outputs, output])
-        draft = self._path(f"{self.base}/.draft-{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        try:
-            stream.write(bytearray(json.dumps({"intervals": new.intervals, "outputs": new.outputs}).encode()))
-        finally:
-            stream.close()
-        target = self._path(f"{self.base}/commit-{new.version}.json")
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"commit {new.version} was made by another run")
+    def commit(self, seen: Committed, gaps: list[Interval], output: str | None = None) -> Committed:
+        """Name the gaps as processed, with the folder they went into (none if they were processed elsewhere)."""
+        outputs = seen.outputs if output is None else [*seen.outputs, output]
+        new = Committed(seen.version + 1, merge([*seen.intervals, *gaps]), outputs)
+        self.folder.publish(new.version, json.dumps({"intervals": new.intervals, "outputs": new.outputs}))
         return new
 
     def output(self) -> DataFrame | None:
@@ -127,21 +130,22 @@ class Ledger:
 
 
 def run_incremental(
-    source: DataFrame, seq: str, ledger: Ledger, process: Callable[[DataFrame], DataFrame]
+    source: DataFrame, seq: str, ledger: Ledger, process: Callable[[DataFrame, list[Interval]], DataFrame]
 ) -> Committed:
     """Process every sequence number that is available but not committed, exactly once.
 
-    Numbers that turn up late, below ones already done, lie in a gap and are taken in
-    too. A number is the unit of delivery: rows added under a number already committed
-    are not seen again. With nothing new, nothing is written and the state stays. Rows with a NULL number belong
-    to no delivery and are left out.
+    `process` gets the rows of the gaps, and the gaps. Numbers that turn up late, below
+    ones already done, lie in a gap and are taken in too. A number is the unit of delivery:
+    rows added under a number already committed are not seen again. With nothing new,
+    nothing is written and the state stays. Rows with a NULL number belong to no delivery
+    and are left out.
     """
     state = ledger.read()
     gaps = subtract(available_intervals(source, seq), state.intervals)
     if not gaps:
         return state
     name = f"part-{state.version + 1}-{uuid.uuid4().hex}"
-    process(source.filter(within(F.col(seq), gaps))).write.parquet(f"{ledger.base}/{name}")
+    process(source.filter(within(F.col(seq), gaps)), gaps).write.parquet(f"{ledger.base}/{name}")
     return ledger.commit(state, gaps, name)
 
 
@@ -151,40 +155,52 @@ def last_good_batch(runs: DataFrame) -> int | None:
     return row[0] if row else None
 
 
-def changed_paths(files: DataFrame, readings: DataFrame, runs: DataFrame) -> DataFrame:
-    """(path): pending files, and paths whose newest reading is unprocessed and tells news.
+def news(fresh: DataFrame, readings: DataFrame, gaps: list[Interval], files: DataFrame) -> DataFrame:
+    """(path): paths of the fresh readings whose newest reading of all is fresh too and tells something files lacks.
 
-    The batches up to the last good run form the processed interval; what is left of the
-    available batches are the gaps. The newest reading of a path is taken over all
-    batches: latest seen_at, then highest batch_no, then rec_id. Readings without mtime
-    don't count, NULL sorts first, a NULL size differs from any number. A NULL path is
-    never a case. Both sides are reduced per path with map-side combine before they meet,
-    so repeated readings of one path don't make a hot key. Further columns are not read.
+    Only paths with a fresh reading can have a fresh newest one, so the history is reduced
+    to these first; it is aggregated with map-side combine, so a path read over and over is
+    no hot key.
     """
-    good = last_good_batch(runs)
-    every = readings.agg(F.min("batch_no"), F.max("batch_no")).head()
-    if every[0] is None:
-        gaps: list[Interval] = []
-    else:
-        gaps = subtract([(every[0], every[1])], [] if good is None else [(min(every[0], good), good)])
+    sound = "mtime is not null and path is not null"
+    paths = fresh.filter(sound).select("path").distinct()
     newest = (
-        readings.filter("mtime is not null and path is not null")
+        readings.filter(sound)
+        .join(paths, "path", "left_semi")
         .groupBy("path")
-        .agg(
-            F.max(F.struct("seen_at", "batch_no", "rec_id", "mtime", "size")).alias("r"),
-        )
+        .agg(F.max(F.struct("seen_at", "batch_no", "rec_id", "mtime", "size")).alias("r"))
         .filter(within(F.col("r.batch_no"), gaps))
-        .select("path", F.col("r.mtime").alias("r_mtime"), F.col("r.size").alias("r_size"), F.lit(1).alias("r_is"))
+        .select("path", F.col("r.mtime").alias("r_mtime"), F.col("r.size").alias("r_size"))
     )
     have = files.filter("path is not null").select(
-        "path", F.col("mtime").alias("f_mtime"), F.col("size").alias("f_size"), "content_state", F.lit(1).alias("f_is")
-    )
-    differs = F.col("f_is").isNull() | ~(
-        F.col("f_mtime").eqNullSafe(F.col("r_mtime")) & F.col("f_size").eqNullSafe(F.col("r_size"))
-    )
-    return (
-        have.join(newest, "path", "full")
-        .filter((F.coalesce(F.col("content_state"), F.lit(-1)) == 0) | (F.col("r_is").isNotNull() & differs))
-        .select("path")
-        .distinct()
+        "path", F.col("mtime").alias("f_mtime"), F.col("size").alias("f_size"), F.lit(True).alias("f_is")
     )
+    same = F.col("f_mtime").eqNullSafe(F.col("r_mtime")) & F.col("f_size").eqNullSafe(F.col("r_size"))
+    return newest.join(have, "path", "left").filter(F.col("f_is").isNull() | ~same).select("path")
+
+
+def changed_paths(files: DataFrame, readings: DataFrame, runs: DataFrame, base: str | None = None) -> DataFrame:
+    """(path): pending files, and paths whose newest reading is unprocessed and tells news.
+
+    An incremental run over the readings with their batches as sequence numbers. The ledger
+    at `base` says which are processed; a ledger without a commit (a scratch one, by
+    default) starts with what the log of runs says: every batch up to the last one of the
+    last good run. The gaps are what is available beyond, and what is found in them is
+    written and committed together with them; the run's own output comes out.
+
+    The newest reading of a path is taken over all batches: latest seen_at, then highest
+    batch_no, then rec_id. Readings without mtime don't count, NULL sorts first, a NULL size
+    differs from any number. A NULL path is never a case. Further columns are not read.
+    """
+    spark = files.sparkSession
+    ledger = Ledger(spark, base or scratch(spark, "ledger"))
+    before = ledger.read()
+    if not before.version:
+        good = last_good_batch(runs)
+        before = ledger.commit(before, [] if good is None else [(-(2**62), good)])
+    after = run_incremental(readings, "batch_no", ledger, lambda fresh, gaps: news(fresh, readings, gaps, files))
+    pending = files.filter("content_state = 0 and path is not null").select("path")
+    own = after.outputs[len(before.outputs) :]
+    if own:
+        pending = pending.unionByName(spark.read.schema("path string").parquet(*[f"{ledger.base}/{o}" for o in own]))
+    return pending.distinct()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,28 +30,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it back, dropping its lineage."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager)
+def scratch(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder in the shared checkpoint folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def spill(df: DataFrame) -> DataFrame:
-    """Write a frame as a compressed table in the shared checkpoint folder and read that.
+    """Write a frame as a compressed table in the shared checkpoint folder and read that: its lineage ends there."""
+    path = scratch(df.sparkSession, "spill")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Like cut(), but several times smaller for text. The folder is removed when the driver ends.
-    """
-    import atexit
-    import uuid
 
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/spill-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+cut = spill
 
 
 def _remove(spark: SparkSession, path: str) -> None:
