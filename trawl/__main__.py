@@ -1,6 +1,7 @@
 """Command line: index trees, search them, and report.
 
     python -m trawl CATALOG index ROOT... | search QUERY | status PATH... | failed | duplicates | sizes
+                            | verify | pending | roots | refresh PATH... | clear --yes
 """
 
 from __future__ import annotations
@@ -8,7 +9,8 @@ from __future__ import annotations
 import argparse
 import sys
 
-from trawl.catalog import Catalog
+from trawl.catalog import Catalog, CatalogDrift
+from trawl.engine import Engine
 from trawl.model import Config
 from trawl.operators import ingest, reports, search
 from trawl.query import QueryError
@@ -28,7 +30,11 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--long", action="store_true", help="with snippets")
     p = sub.add_parser("status")
     p.add_argument("paths", nargs="+")
-    for name in ("failed", "duplicates", "sizes"):
+    p = sub.add_parser("refresh")
+    p.add_argument("paths", nargs="+")
+    p = sub.add_parser("clear")
+    p.add_argument("--yes", action="store_true", required=True, help="the catalog is emptied")
+    for name in ("failed", "duplicates", "sizes", "verify", "pending", "roots"):
         sub.add_parser(name)
     a = ap.parse_args(args)
 
@@ -37,7 +43,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
         catalog = Catalog(spark, a.catalog, create=a.command == "index")
-    except FileNotFoundError as e:
+    except (FileNotFoundError, CatalogDrift) as e:
         print(e, file=sys.stderr)
         return 2
     files, texts, failed = (catalog.table(t) for t in ("files", "documents_text", "failed_files"))
@@ -63,6 +69,18 @@ def main(args: list[str] | None = None) -> int:
         reports.failures(files, failed, 1000).show(1000, truncate=False)
     elif a.command == "duplicates":
         reports.duplicate_groups(files, 500).show(500, truncate=False)
+    elif a.command == "verify":
+        reports.verify_on_disk(files).filter("verdict != 'identical'").show(1000, truncate=False)
+    elif a.command == "pending":
+        reports.page_by_id(files, 0, 1000).show(1000, truncate=False)
+    elif a.command == "roots":  # as the last full run counted them
+        for k, v in sorted(catalog.meta().items()):
+            if k.startswith("root."):
+                print(f"{k[5:]}\t{v}")
+    elif a.command == "refresh":
+        print(Engine(spark, a.catalog).refresh(a.paths))
+    elif a.command == "clear":
+        Engine(spark, a.catalog).clear()
     else:
         reports.size_breakdown(files, texts).show(truncate=False)
     return 0

@@ -6,15 +6,15 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from trawl.catalog import Catalog
+from trawl.catalog import TABLES, Catalog, Change
 from trawl.model import Config, Outcome
-from trawl.operators import ingest, reconcile, reports, search, tables
+from trawl.operators import ingest, reconcile, reports, search
 from trawl.runtime import cut
-from trawl.sources.scan import tree_scan
-from trawl.streaming.events import Schedule, apply_to, verb_for
+from trawl.streaming.events import Schedule, verb_for, watch
 
 
 @dataclass(frozen=True)
@@ -28,10 +28,13 @@ class State:
 
 
 class Engine:
-    """Single writer by contract; every change is one commit of the catalog."""
+    """Single writer by contract; every change is one commit of the catalog.
 
-    def __init__(self, spark: SparkSession, base: str, config: Config | None = None):
-        self.spark, self.catalog = spark, Catalog(spark, base)
+    A catalog of another version is an error unless `renew` agrees to empty it.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, config: Config | None = None, renew: bool = False):
+        self.spark, self.catalog = spark, (Catalog.anew if renew else Catalog)(spark, base)
         stored = reconcile.Fingerprint.read(self.catalog.meta()).config
         self.config = config or stored
         self.schedule = Schedule(mode="auto" if self.config.auto_index else "stopped")
@@ -40,41 +43,58 @@ class Engine:
         """A full run, whatever the mode; the mode is the same afterwards."""
         return ingest.full_run(self.spark, self.catalog, self.config, now)
 
-    def refresh(self, paths: Sequence[str]) -> int:
-        """Bring single paths up to date; those under no root are left alone. How many were looked at."""
+    def refresh(self, paths: Sequence[str], now: int | None = None) -> int:
+        """Bring single paths up to date, contents included; those under no root are left alone. How many were looked at."""
         import os
 
-        mine = [p for p in dict.fromkeys(paths) if any(p.startswith(r.rstrip("/") + "/") for r in self.config.roots)]
-        if not mine:
-            return 0
-        seen, files = self.catalog.epoch, self.catalog.table("files")
-        ops = self.spark.createDataFrame([(p, verb_for(os.path.exists(p)), 0) for p in mine], "path string, op string, seq long")
-        scan, _ = tree_scan(self.spark, replace(self.config, roots=tuple({os.path.dirname(p) for p in mine if os.path.exists(p)}) or self.config.roots))
-        found = cut(ingest.records(self.spark, scan.join(ops.filter("op = 'modify'").select("path"), "path", "left_semi"), self.config).drop("aliased"))
-        new = cut(apply_to(files, ops, found))
-        kept = new.join(files.select("id", F.col("mtime").alias("__m")), "id", "left").filter("mtime <=> __m").select(F.col("id").alias("file_id"))
-        side = {t: self.catalog.table(t).join(kept, "file_id", "left_semi") for t in ("documents_text", "failed_files")}
-        self.catalog.commit({"files": new, **side}, seen)
-        return len(mine)
+        ops = [(p, verb_for(os.path.lexists(p))) for p in dict.fromkeys(paths)]
+        return ingest.targeted_run(self.spark, self.catalog, self.config, ops, now).get("looked_at", 0)
+
+    def watch(self, events: DataFrame, checkpoint: str, once: bool = False, settle: str = "2 seconds") -> StreamingQuery:
+        """Keep the catalog in step with a stream of events, or (`once`) with what has arrived so far.
+
+        Batches are committed under their number, so one that is replayed after a failure
+        changes nothing; too many paths in a batch make a full run.
+        """
+        def apply(ops: DataFrame, number: int) -> None:
+            rows = [(r.path, r.op) for r in ops.select("path", "op").collect()]  # OVERFLOW of them at most
+            ingest.targeted_run(self.spark, self.catalog, self.config, rows, batch=number)
+
+        return watch(events, apply, self.reindex, checkpoint, settle, once)
 
     def apply_config(self, config: Config) -> reconcile.IndexWork:
-        """Take up new settings. What needs no disk is done at once; a rebuild is left to the caller."""
+        """Take up new settings. What needs no disk is done at once; a rebuild is left to the caller.
+
+        Tables, settings and the full run that is still due are one commit; see outstanding().
+        """
         work = reconcile.diff_actions(self.config, config)
         if work.rebuild:
             return work
         if not work.nothing:
             seen = self.catalog.epoch
             parts = [self.catalog.table(t) for t in ("files", "documents_text", "failed_files")]
-            files, texts, failed = reconcile.reconcile(*parts, config, work)
-            self.catalog.commit({"files": files, "documents_text": texts, "failed_files": failed}, seen)
-            self.catalog.set_meta(dict(reconcile.Fingerprint(config).rows()))
+            files, texts, failed = reconcile.reconcile(*parts, config, work, ingest.extractable())
+            meta = self.catalog.meta() | dict(reconcile.Fingerprint(config).rows())
+            if work.reindex:
+                meta["outstanding"] = "reindex"
+            self.catalog.commit({"files": files, "documents_text": texts, "failed_files": failed, "meta": self.catalog.meta_rows(meta)}, seen)
         self.config = config
         return work
 
+    def outstanding(self) -> bool:
+        """A full run is still due for settings taken up earlier; it stays due until one has ended."""
+        return "outstanding" in self.catalog.meta()
+
+    def set_mode(self, mode: str) -> None:
+        """auto, stopped or running; others are an error."""
+        if mode not in ("auto", "stopped", "running"):
+            raise ValueError(f"unknown mode {mode!r}")
+        self.schedule = replace(self.schedule, mode=mode)
+
     def clear(self) -> None:
         """An empty catalog; nothing runs by itself until it is asked to."""
         self.catalog.clear()
-        self.schedule = replace(self.schedule, mode="stopped")
+        self.set_mode("stopped")
 
     def rebuild(self, now: int | None = None) -> dict[str, int]:
         self.catalog.clear()
@@ -85,6 +105,8 @@ class Engine:
 
         last = self.catalog.meta().get("last_full_index")
         at = lambda s: datetime.fromtimestamp(float(s), timezone.utc)
+        if self.schedule.mode == "auto" and self.outstanding():
+            return True
         return self.schedule.due(at(last) if last else None, at(time.time() if now is None else now))
 
     def state(self) -> State:
@@ -101,7 +123,7 @@ class Engine:
 
     def forget(self, path: str) -> None:
         """Drop one path from the catalog."""
-        seen, files = self.catalog.epoch, self.catalog.table("files")
-        left = cut(files.filter(F.col("path") != path))
-        side = {t: tables.dependents(self.catalog.table(t), left) for t in ("documents_text", "failed_files")}
-        self.catalog.commit({"files": left, **side}, seen)
+        gone = cut(self.catalog.table("files").filter(F.col("path") == path).select("id"))
+        keys = gone.select(F.col("id").alias("file_id"))
+        none = {t: self.spark.createDataFrame([], TABLES[t]) for t in ("files", "documents_text", "failed_files")}
+        self.catalog.commit({t: Change(df, gone if t == "files" else keys) for t, df in none.items()}, self.catalog.epoch)

@@ -437,12 +437,38 @@ def decide(mime: str | None, data: bytes | None, most: int) -> tuple[int, str |
         return int(ContentState.FAILED), None, f"{e}" or type(e).__name__
 
 
-def extract_texts(files: DataFrame, most: int = 256 * 1024) -> DataFrame:
-    """(id, content_state, text, reason) from (id, mime, content), batch by batch."""
+def extract_texts(files: DataFrame, most: int = 256 * 1024, reads: int | None = None, held: int = 8 << 20) -> DataFrame:
+    """(id, content_state, text, reason) from (id, mime, content), or from (id, mime, path) with `reads`.
+
+    With paths a task opens one file at a time, takes at most `reads` bytes of it (the
+    extractors of containers get what they need, no larger file is offered), and hands
+    texts on whenever `held` characters have gathered: what it holds is bounded by sizes,
+    not by numbers of files.
+    """
+    schema = "id long, content_state int, text string, reason string"
+
+    def frame(got: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"id": [g[0] for g in got], "content_state": [g[1] for g in got], "text": [g[2] for g in got], "reason": [g[3] for g in got]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [decide(m, None if c is None else bytes(c), most) for m, c in zip(pdf["mime"], pdf["content"])]
-            yield pd.DataFrame({"id": pdf["id"], "content_state": [g[0] for g in got], "text": [g[1] for g in got], "reason": [g[2] for g in got]})
+            got, size = [], 0
+            for i, m, x in zip(pdf["id"].tolist(), pdf["mime"].tolist(), pdf["content" if reads is None else "path"].tolist()):
+                data = x if reads is None else head_of(x, reads)
+                got.append((i, *decide(m, None if data is None else bytes(data), most)))
+                size += len(got[-1][2] or "")
+                if size >= held:
+                    yield frame(got)
+                    got, size = [], 0
+            yield frame(got)
+
+    return files.select("id", "mime", "content" if reads is None else "path").mapInPandas(run, schema)
 
-    return files.select("id", "mime", "content").mapInPandas(run, "id long, content_state int, text string, reason string")
+
+def head_of(path: str, n: int) -> bytes | None:
+    """The first n bytes of a file, None if it can't be read."""
+    try:
+        with open(path, "rb") as f:
+            return f.read(n)
+    except OSError:
+        return None

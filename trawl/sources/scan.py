@@ -39,32 +39,56 @@ def binary_scan(spark: SparkSession, roots: Sequence[str], config: Config | None
 
 
 class _Folder(InputPartition):
-    def __init__(self, root: str, path: str, deep: bool):
-        self.root, self.path, self.deep = root, path, deep
+    def __init__(self, root: str, paths: list[str], deep: bool):
+        self.root, self.paths, self.deep = root, paths, deep
 
 
 class _TreeReader(DataSourceReader):
-    """One task per folder of the top levels; ignored and hidden folders are not entered."""
+    """Tasks of a few folders each; ignored and hidden folders are not entered.
+
+    The driver lists the top levels, one after another, until there are `tasks` folders to
+    walk or no more; so one deep root is many tasks as well. `paths`, if given, are looked
+    at themselves, files by their status alone, folders with all beneath them.
+    """
 
     def __init__(self, options):
         import json
 
         self.roots = [os.path.realpath(r) for r in json.loads(options["roots"])]
+        self.paths = json.loads(options.get("paths", "null"))
         self.ignore = json.loads(options.get("ignore", "[]"))
         self.hidden = options.get("hidden", "false") == "true"
         self.follow = options.get("follow", "false") == "true"
+        self.tasks = int(options.get("tasks", "64"))
 
     def partitions(self):
+        if self.paths is not None:
+            size = max(1, -(-len(self.paths) // self.tasks))
+            return [_Folder(self._root_of(self.paths[i]), self.paths[i : i + size], True) for i in range(0, len(self.paths), size)]
         out: list[InputPartition] = []
         for root in dict.fromkeys(self.roots):
-            out.append(_Folder(root, root, False))
-            try:
-                with os.scandir(root) as entries:
-                    out += [_Folder(root, e.path, True) for e in entries if self._enters(root, e)]
-            except OSError:
-                pass  # told by the shallow read of the root
+            level, listed, seen = [root], [], {root}
+            while level and len(level) < self.tasks:
+                listed += level
+                below = []
+                for folder in level:
+                    try:
+                        with os.scandir(folder) as entries:
+                            inner = [e.path for e in entries if self._enters(root, e)]
+                    except OSError:
+                        inner = []  # told by the shallow read of the folder
+                    for path in sorted(inner):
+                        if (real := os.path.realpath(path)) not in seen:
+                            seen.add(real)
+                            below.append(path)
+                level = below
+            out += [_Folder(root, listed[i::8], False) for i in range(min(8, len(listed)))]
+            out += [_Folder(root, level[i :: self.tasks], True) for i in range(min(self.tasks, len(level)))]
         return out
 
+    def _root_of(self, path: str) -> str:
+        return max((r for r in self.roots if path == r or path.startswith(r + "/")), key=len, default=os.path.dirname(path))
+
     def _kept(self, root: str, path: str) -> bool:
         import fnmatch
 
@@ -81,36 +105,47 @@ class _TreeReader(DataSourceReader):
     def _enters(self, root: str, e: os.DirEntry) -> bool:
         return e.is_dir(follow_symlinks=self.follow) and self._kept(root, e.path)
 
+    def _row(self, root: str, path: str, linked: bool) -> tuple:
+        target = os.path.realpath(path) if linked else path
+        st = os.stat(target)
+        return (root, target, os.path.basename(target), os.path.dirname(target), st.st_size, int(st.st_mtime), linked, False)
+
     def read(self, part: _Folder) -> Iterator[tuple]:
-        todo = [part.path]
-        seen: set[str] = set()
+        for start in part.paths:
+            root = part.root if self.paths is None else self._root_of(start)
+            if self.paths is not None and not os.path.isdir(start):
+                try:
+                    yield self._row(root, start, os.path.islink(start))
+                except OSError:
+                    pass  # not there: told by its absence
+                continue
+            yield from self._walk(root, start, part.deep)
+
+    def _walk(self, root: str, start: str, deep: bool) -> Iterator[tuple]:
+        # A link back to a folder above ends a way down; one to another part of the tree is walked there again, and
+        # its files come out once, as all paths do.
+        todo = [(start, frozenset())]
         while todo:
-            folder = todo.pop()
+            folder, above = todo.pop()
             real = os.path.realpath(folder)
-            if real in seen:
+            if real in above:
                 continue
-            seen.add(real)
             try:
                 entries = sorted(os.scandir(folder), key=lambda e: e.name)
             except OSError:
-                yield (part.root, folder, os.path.basename(folder), os.path.dirname(folder), None, None, False, True)
+                yield (root, folder, os.path.basename(folder), os.path.dirname(folder), None, None, False, True)
                 continue
             for e in entries:
-                if not self._kept(part.root, e.path):
+                if not self._kept(root, e.path):
                     continue
                 try:
                     if e.is_dir(follow_symlinks=self.follow):
-                        if part.deep:
-                            todo.append(e.path)
+                        if deep:
+                            todo.append((e.path, above | {real} if self.follow else above))
                     elif e.is_file(follow_symlinks=self.follow):
-                        target = os.path.realpath(e.path) if e.is_symlink() else e.path
-                        st = os.stat(target)
-                        yield (
-                            part.root, target, os.path.basename(target), os.path.dirname(target), st.st_size,
-                            int(st.st_mtime), e.is_symlink(), False,
-                        )
+                        yield self._row(root, e.path, e.is_symlink())
                 except OSError:
-                    yield (part.root, e.path, e.name, folder, None, None, False, True)
+                    yield (root, e.path, e.name, folder, None, None, False, True)
 
 
 class TreeSource(DataSource):
@@ -127,14 +162,16 @@ class TreeSource(DataSource):
         return _TreeReader(self.options)
 
 
-def tree_scan(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(files, unreadable folders) below the roots of the settings. Each path once, over all roots."""
+def tree_scan(spark: SparkSession, config: Config, paths: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, unreadable folders) below the roots of the settings, or at and below `paths` only. Each path once, over all roots."""
     import json
 
     spark.dataSource.register(TreeSource)
+    only = {} if paths is None else {"paths": json.dumps(list(paths))}
     rows = (
         spark.read.format("trawl_tree").option("roots", json.dumps(list(config.roots))).option("ignore", json.dumps(list(config.ignore)))
-        .option("hidden", str(config.include_hidden).lower()).option("follow", str(config.follow_symlinks).lower()).load()
+        .option("hidden", str(config.include_hidden).lower()).option("follow", str(config.follow_symlinks).lower())
+        .option("tasks", str(8 * spark.sparkContext.defaultParallelism)).options(**only).load()
     )
     files = rows.filter("not unreadable").drop("unreadable", "root").dropDuplicates(["path"])
     return files, rows.filter("unreadable").select("path").distinct()
