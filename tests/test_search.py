@@ -89,6 +89,24 @@ def test_snippets(spark):
     assert [(r.start, r.end) for r in got[8].ranges] == [(4, 10)]
 
 
+def test_neither_catalog_nor_bodies_are_shuffled_or_sent(spark, tmp_path):
+    files, texts = catalog(spark, NAMES, TEXTS)
+    files.write.parquet(str(tmp_path / "f"))
+    texts.write.parquet(str(tmp_path / "t"))
+    files, texts = spark.read.parquet(str(tmp_path / "f")), spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    names = plan(search.hits(files, None, "report"))
+    assert "Exchange" not in names
+    shown = search.with_snippets(search.search(files, texts, "report", 100), texts, "report")
+    lines = plan(shown).split("\n")
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "text#" in x)
+    above = [x for x in lines[:scan] if "Exchange" in x and len(x) - len(x.lstrip(" :+-")) < len(lines[scan]) - len(lines[scan].lstrip(" :+-"))]
+    # The bodies picked are joined with the page; their scan is met by the page's ids, sent to it.
+    assert any("BroadcastHashJoin" in x and "LeftSemi, BuildRight" in x for x in lines) and len(above) <= 1
+    pruned = {r.file_id for r in search.hits(files, texts, "report", grams=search.trigram_index(texts)).collect()}
+    assert pruned == {r.file_id for r in search.hits(files, texts, "report").collect()}
+
+
 def test_windows():
     text = "é" * 400 + "needle" + "ü" * 400
     w = cut_window(text, byte_ranges(text, re.compile("needle")), 60)

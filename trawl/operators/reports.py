@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.kernels import first_difference
 from trawl.functions.text import under
 from trawl.model import ContentState
+from trawl.runtime import spill
 
 _STATES = {s.value: s.name.lower() for s in ContentState}
 
@@ -51,27 +53,39 @@ def verify_groups(members: DataFrame, contents: DataFrame, group: str = "hash_he
 
     `contents` has (path, content); a path without one, or with NULL, is 'unreadable'. The
     others are 'identical', 'length_differs' or 'differs' with the offset of the first
-    differing byte. The reference member is the first path of the group with a content; only
-    it is looked up per group, and bodies are compared by digest before they are by byte.
+    differing byte. The reference member is the first path of the group with a content.
+
+    Digests and lengths, taken where contents are read, settle all but members of the
+    reference's length with another digest; only their contents and those of their
+    references are fetched, and a reference is joined with its odd members by path, so a
+    group of any size is spread like any other rows.
     """
-    read = members.select(group, "path").join(contents.select("path", "content"), "path", "left")
-    with_digest = read.select(group, "path", "content", F.sha2("content", 256).alias("digest"), F.length("content").alias("n"))
-    first = (
-        with_digest.filter("content is not null").groupBy(group).agg(F.min("path").alias("path"))
-        .join(with_digest.select("path", F.col("content").alias("ref"), F.col("digest").alias("ref_digest"), F.col("n").alias("ref_n")), "path")
-        .drop("path")
-    )
-    joined = with_digest.join(first, group, "left")
-    same = F.col("digest") == F.col("ref_digest")
-    odd = F.col("content").isNotNull() & ~same & (F.col("n") == F.col("ref_n"))
-    at = first_difference(F.when(odd, F.col("content")), F.when(odd, F.col("ref")))
+    stamp = contents.filter("content is not null").select("path", F.sha2("content", 256).alias("digest"), F.length("content").alias("n"))
+    read = spill(members.select(group, "path").join(stamp, "path", "left"))
+    first = read.filter("n is not null").groupBy(group).agg(F.min(F.struct("path", "digest", "n")).alias("r"))
+    rows = read.join(first, group, "left")
+    same = F.col("digest") == F.col("r.digest")
+    odd = rows.filter((F.col("n") == F.col("r.n")) & ~same).select("path", F.col("r.path").alias("ref_path")).distinct()
+    bodies = contents.filter("content is not null").select("path", "content")
+    mine = odd.join(bodies, "path")
+    refs = bodies.select(F.col("path").alias("ref_path"), F.col("content").alias("ref")).join(odd.select("ref_path").distinct(), "ref_path", "left_semi")
+    at = mine.join(refs, "ref_path").select("path", "ref_path", first_difference(F.col("content"), F.col("ref")).alias("offset"))
     verdict = (
-        F.when(F.col("content").isNull(), "unreadable")
-        .when(same, "identical")
-        .when(F.col("n") != F.col("ref_n"), "length_differs")
-        .otherwise("differs")
+        F.when(F.col("n").isNull(), "unreadable").when(same, "identical").when(F.col("n") != F.col("r.n"), "length_differs").otherwise("differs")
     )
-    return joined.select(group, "path", verdict.alias("verdict"), at.alias("offset"))
+    return rows.withColumn("ref_path", F.col("r.path")).withColumn("verdict", verdict).join(at, ["path", "ref_path"], "left").select(group, "path", "verdict", "offset")
+
+
+def verify_on_disk(files: DataFrame) -> DataFrame:
+    """verify_groups over the files themselves, read from the disk in the tasks that need them."""
+    from trawl.sources.extract import head_of
+
+    @F.pandas_udf("binary")
+    def whole(paths: pd.Series) -> pd.Series:
+        return pd.Series([head_of(p, -1) for p in paths], dtype=object)
+
+    members = duplicate_members(files)
+    return verify_groups(members, members.select("path", whole("path").alias("content")))
 
 
 def status_of_paths(paths: DataFrame, files: DataFrame, failed: DataFrame) -> DataFrame:
@@ -151,13 +165,48 @@ def page_by_path(files: DataFrame, folder: str, after: str, size: int) -> DataFr
 
 
 def rolling_rate(points: DataFrame, seconds: int = 30) -> DataFrame:
-    """(window_start, rate): progress per second, from first to last point of each window."""
-    w = points.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(
-        F.min_by("done", "ts").alias("a"), F.max_by("done", "ts").alias("b"),
-        (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("us"),
-    )
-    rate = F.when(F.col("us") > 0, (F.col("b") - F.col("a")) * 1e6 / F.col("us"))
-    return w.select(F.col("w.start").alias("window_start"), rate.alias("rate"))
+    """(at_us, rate): at every point, progress per second over the `seconds` before it, from its first to its last point.
+
+    NULL where a window holds one moment only. Points are split into stretches of `seconds`;
+    a point looks back into its own stretch and the one before, so no task orders them all.
+    Of points at one moment the most advanced counts.
+    """
+    us = F.unix_micros("ts")
+    span = seconds * 1_000_000
+    each = points.filter("ts is not null").groupBy(us.alias("at_us")).agg(F.max("done").alias("done"))
+    slot = F.floor(F.col("at_us") / span)
+    # Every point stands in its own stretch and, as history, in the next one.
+    rows = each.select("at_us", "done", F.inline(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own")))))
+    w = Window.partitionBy("slot").orderBy("at_us").rangeBetween(-span, 0)
+    rate = F.when(F.col("at_us") > F.col("a_us"), (F.col("done") - F.col("a")) * 1e6 / (F.col("at_us") - F.col("a_us")))
+    seen = rows.select("*", F.first("at_us").over(w).alias("a_us"), F.first("done").over(w).alias("a"))
+    return seen.filter("own").select("at_us", rate.alias("rate"))
+
+
+def overall_progress(files: DataFrame, roots: Sequence[str], most: int) -> DataFrame:
+    """(walked, to_extract, extracted, failed, share): how far a run has come over all roots; share NULL without work."""
+    inside = F.lit(False)
+    for r in dict.fromkeys(roots):
+        inside = inside | under(F.col("path"), r)
+    state, small = F.col("content_state"), F.coalesce(F.col("size") <= most, F.lit(False))
+    out = files.filter(inside).agg(
+        F.count("*").alias("walked"),
+        F.count_if((state == ContentState.PENDING) & small).alias("to_extract"),
+        F.count_if(state == ContentState.DONE).alias("extracted"),
+        F.count_if(state == ContentState.FAILED).alias("failed"),
+    )
+    settled = F.col("extracted") + F.col("failed")
+    return out.withColumn("share", F.when(settled + F.col("to_extract") > 0, settled / (settled + F.col("to_extract"))))
+
+
+def mtimes_of(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, mtime) of known paths."""
+    return files.join(paths.select("path").distinct(), "path", "left_semi").select("path", "mtime")
+
+
+def rows_in(files: DataFrame, folder: str) -> DataFrame:
+    """(id, path, mtime, size): files of the folder itself, not of those in it."""
+    return files.filter(F.col("parent") == folder.rstrip("/")).select("id", "path", "mtime", "size")
 
 
 def newest_per_parent(files: DataFrame, n: int) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Ranked search: eleven tiers over names, bodies and paths in one pass over the catalog.
+"""Ranked search: eleven tiers over names, bodies and paths.
 
-Each file is one row and takes the first tier that accepts it, so there is nothing to
-deduplicate. Bodies are searched where they are read: what is joined with the catalog is a
-row of counts per body that matched, never a text.
+Names and paths are ranked where the catalog is read, bodies are searched where they are
+read; neither is shuffled. Only a row of counts per body that matched meets the catalog, by
+an inner join, and of the hits of a file the best is kept.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from trawl.functions import kernels
 from trawl.functions.text import ascii_fold, ascii_lower, count_fraction, ignored
 from trawl.model import Outcome
 from trawl.query import Query, parse
+from trawl.runtime import spill
 
 DEFAULT_LIMIT = 1000
 FLOOR = 3  # shorter terms, in characters, are looked for in names only
@@ -42,8 +43,9 @@ def hits(
     """All files that match, with rank and stage; not ordered.
 
     Filters and ignore patterns apply before anything else and reach the scan. Bodies are
-    joined only if the term is long enough to be looked for in them. `grams` (gram,
-    file_id) finds files whose body is indexed but not stored; they rank last in tier 6.
+    read only if the term is long enough to be looked for in them. `grams` (gram, file_id),
+    an index of all bodies, spares bodies it rules out and finds files whose body is indexed
+    but not stored; these rank last in tier 6. Ids are taken to be unique.
     """
     query = parse(query) if isinstance(query, str) else query
     if query.empty:
@@ -54,47 +56,56 @@ def hits(
     if ignore:
         rows = rows.filter(~ignored(F.col("path"), list(ignore)))
     if query.pattern.empty:
-        return _finish(_regex_only(rows, texts, query))
+        return _regex_only(rows, texts, query)
     p = query.pattern
     term = ascii_lower(query.term)
     budget = kernels.edit_budget(len(term.encode()), max_edits) if fuzzy and p.literal is not None else None
     long_enough = p.chars >= FLOOR
-    bodies = _body_hits(texts, p, term, budget, query) if texts is not None else None
-    if bodies is not None:
-        rows = rows.join(bodies, "id", "left")
-    else:
-        none = [F.lit(None).cast("int").alias(c) for c in ("__same", "__any", "__near")]
-        rows = rows.select("*", *none, F.lit(None).cast("boolean").alias("__rx"))
-
-    # What any accepted row must meet, cheap and before the rank.
-    may = p.holds_all(F.col("path")) | p.holds_all(F.col("name"))
-    may = may | F.coalesce(F.greatest("__any", "__near") > 0, F.lit(False))
-    if budget is not None:
-        may = may | kernels.may_be_near(F.col("name"), term, budget) | kernels.may_be_near(F.col("path"), term, budget)
+    none = [F.lit(None).cast("int").alias(c) for c in ("__same", "__any", "__near")]
+    found = _ranked(rows.select("*", *none, F.lit(None).cast("boolean").alias("__rx")), p, term, budget, query, False)
+    more = []
+    if texts is not None:
+        if grams is not None and long_enough and budget is None and query.regex is None:
+            texts = _pruned(texts, grams, p.segments)
+        bodies = _body_hits(texts, p, term, budget, query)
+        if bodies is not None:
+            more.append(_ranked(rows.join(bodies, "id"), p, term, budget, query, True))
     if grams is not None and long_enough:
-        rows = rows.join(_indexed(grams, p.segments), "id", "left")
+        unstored = _indexed(grams, p.segments)
         if texts is not None:
-            stored = texts.filter("text is not null").select(F.col("file_id").alias("id")).distinct()
-            rows = rows.join(stored.withColumn("__stored", F.lit(True)), "id", "left")
-        else:
-            rows = rows.withColumn("__stored", F.lit(None).cast("boolean"))
-        may = may | F.col("__indexed").isNotNull()
-    rows = rows.filter(may)
+            unstored = unstored.join(texts.filter("text is not null").select(F.col("file_id").alias("id")), "id", "left_anti")
+        last = rows.join(unstored, "id")
+        if query.regex is not None:
+            last = last.filter(kernels.re2_match(F.col("path"), query.regex.pattern))
+        more.append(last.withColumn("__hit", _first([(6, F.lit(True), F.lit(6.999))])))
+    return _finish(found, *more)
+
+
+def _ranked(rows: DataFrame, p, term: str, budget: int | None, query: Query, body: bool) -> DataFrame:
+    """rows with `__hit`, the rank and stage of the first tier that accepts each.
+
+    With `body` they are files whose body may count (see _body_hits), else any, judged by
+    name and path alone.
+    """
+    long_enough = p.chars >= FLOOR
+    if not body:
+        # What any accepted row must meet, cheap and before the rank.
+        may = p.holds_all(F.col("path")) | p.holds_all(F.col("name"))
+        if budget is not None:
+            may = may | kernels.may_be_near(F.col("name"), term, budget) | kernels.may_be_near(F.col("path"), term, budget)
+        rows = rows.filter(may)
     if query.regex is not None:
         fits = kernels.re2_match(F.col("path"), query.regex.pattern)
         rows = rows.filter(F.coalesce("__rx", F.lit(False)) | fits)
-
     tiers = _name_tiers(p)
-    if long_enough:
+    if long_enough and body:
         tiers += [
             (5, F.col("__same") > 0, F.lit(5.0) + count_fraction(F.col("__same"))),
             (6, F.col("__any") > 0, F.lit(6.0) + count_fraction(F.col("__any"))),
         ]
-    if grams is not None and long_enough:
-        tiers.append((6, F.col("__stored").isNull() & F.col("__indexed").isNotNull(), F.lit(6.999)))
     exact = _first(tiers)
     if budget is None:
-        return _finish(rows.withColumn("__hit", F.coalesce(exact, _first(_path_tiers(p)))))
+        return rows.withColumn("__hit", F.coalesce(exact, _first(_path_tiers(p))))
 
     # Only rows no exact tier took go through the fuzzy kernels: the others hand over NULL.
     rows = rows.withColumn("__exact", exact)
@@ -112,7 +123,13 @@ def hits(
         _first(_path_tiers(p)),
         _first([(11, F.col("__dp").isNotNull(), F.lit(11.0) + F.lit(0.1) * F.col("__dp"))]),
     )
-    return _finish(rows.withColumn("__hit", hit))
+    return rows.withColumn("__hit", hit)
+
+
+def _pruned(texts: DataFrame, grams: DataFrame, segments: Sequence[str], most: int = 1_000_000) -> DataFrame:
+    """Bodies the trigram index allows; all of them if it allows more than `most`, which are not sent out."""
+    ids = spill(_indexed(grams, segments).select(F.col("id").alias("file_id")))
+    return texts.join(F.broadcast(ids), "file_id", "left_semi") if ids.count() <= most else texts
 
 
 def _body_hits(texts: DataFrame, p, term: str, budget: int | None, query: Query) -> DataFrame | None:
@@ -171,32 +188,30 @@ def _path_tiers(p) -> list:
 
 def _regex_only(rows: DataFrame, texts: DataFrame | None, query: Query) -> DataFrame:
     pattern = query.regex.pattern
-    if texts is not None:
-        counted = texts.select(F.col("file_id").alias("id"), kernels.re2_count(F.col("text"), pattern).alias("__b"))
-        rows = rows.join(counted.filter("__b > 0"), "id", "left")
-    else:
-        rows = rows.withColumn("__b", F.lit(None).cast("int"))
     name, path = (kernels.re2_match(F.col(c), pattern) for c in ("name", "path"))
-    return rows.select("*", name.alias("__n"), path.alias("__p")).withColumn(
-        "__hit",
-        _first(
-            [
-                (4, F.col("__n"), F.lit(4.0)),
-                (6, F.col("__b") > 0, F.lit(6.0) + count_fraction(F.col("__b"))),
-                (10, F.col("__p"), F.lit(10.0)),
-            ]
-        ),
+    own = rows.select("*", name.alias("__n"), path.alias("__p")).withColumn(
+        "__hit", _first([(4, F.col("__n"), F.lit(4.0)), (10, F.col("__p"), F.lit(10.0))])
     )
+    if texts is None:
+        return _finish(own)
+    counted = texts.select(F.col("file_id").alias("id"), kernels.re2_count(F.col("text"), pattern).alias("__b")).filter("__b > 0")
+    inside = rows.join(counted, "id").withColumn("__hit", _first([(6, F.lit(True), F.lit(6.0) + count_fraction(F.col("__b")))]))
+    return _finish(own, inside)
 
 
-def _finish(rows: DataFrame) -> DataFrame:
-    """Rows with a hit. A generator keeps them rather than a filter: a filter on the rank would
-    be pushed below it, and rank and kernels computed twice."""
+def _finish(rows: DataFrame, *more: DataFrame) -> DataFrame:
+    """The hits of all frames, of each file the best. A generator keeps rows with a hit rather than
+    a filter: a filter on the rank would be pushed below it, and rank and kernels computed twice."""
     hit = F.explode(F.filter(F.array("__hit"), lambda h: h.isNotNull())).alias("h")
-    rows = rows.select("id", "name", "path", "size", "mtime", hit)
+    out, *rest = (r.select("id", "name", "path", "size", "mtime", hit) for r in (rows, *more))
+    if rest:
+        for r in rest:
+            out = out.unionByName(r)
+        best = out.groupBy("id").agg(F.min(F.struct("h", "name", "path", "size", "mtime")).alias("b"))
+        out = best.select("id", "b.name", "b.path", "b.size", "b.mtime", "b.h")
     stage = F.col("h.stage")
     field = F.when(stage.isin(1, 2, 3, 4, 7), "name").when(stage.isin(5, 6, 8), "contents").otherwise("path")
-    return rows.select(
+    return out.select(
         F.col("id").alias("file_id"), "name", "path", "size", "mtime",
         F.col("h.rank").alias("rank"), stage.alias("stage"), field.alias("match_field"),
     )
@@ -219,8 +234,14 @@ def resort(found: DataFrame, by: str = "rank", descending: bool = False) -> Data
     return found.orderBy(col.desc() if descending else col.asc(), F.col("path").asc())
 
 
-def with_snippets(found: DataFrame, texts: DataFrame | None, query: Query | str, max_edits: int = 2, budget: int = 600) -> DataFrame:
-    """The top hits with a snippet of what matched; NULL where the body isn't stored."""
+def with_snippets(
+    found: DataFrame, texts: DataFrame | None, query: Query | str, max_edits: int = 2, budget: int = 600, page: int = 100_000
+) -> DataFrame:
+    """The top hits with a snippet of what matched; NULL where the body isn't stored.
+
+    Up to `page` hits are sent to where bodies are read and pick theirs; beyond that both
+    sides meet by key.
+    """
     query = parse(query) if isinstance(query, str) else query
     p = query.pattern
     k = kernels.edit_budget(len(ascii_lower(query.term).encode()), max_edits) if p.literal is not None else None
@@ -232,8 +253,10 @@ def with_snippets(found: DataFrame, texts: DataFrame | None, query: Query | str,
         exact, folded = p.python(False), p.python(True)
     rows = found
     if texts is not None:
-        # As few rows as were found: they pick their texts, not the other way round.
-        rows = found.join(texts.select("file_id", "text"), "file_id", "left")
+        rows = spill(found)
+        wanted = rows.filter("match_field = 'contents'").select("file_id")
+        wanted = F.broadcast(wanted) if wanted.count() <= page else wanted
+        rows = rows.join(texts.select("file_id", "text").join(wanted, "file_id", "left_semi"), "file_id", "left")
     else:
         rows = found.withColumn("text", F.lit(None).cast("string"))
     source = F.when(F.col("match_field") == "name", F.col("name")).when(F.col("match_field") == "path", F.col("path")).otherwise(F.col("text"))

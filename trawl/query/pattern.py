@@ -106,11 +106,13 @@ class Regex:
     source: str
 
     def __post_init__(self):
+        probes = ["", "a", "a b", "a\nb", "1-1", "_ ."]
         try:
-            hits_nothing = pc.match_substring_regex(pa.array([""]), self.pattern)[0].as_py()
+            marked = pc.replace_substring_regex(pa.array(probes), self.pattern, "\x01").to_pylist()
         except pa.ArrowInvalid as e:
             raise BadRegex(str(e)) from e
-        if hits_nothing:
+        # Where it matches and nothing but the mark is new, it matched the empty text.
+        if any(m != t and m.replace("\x01", "") == t for t, m in zip(probes, marked)):
             raise BadRegex("matches the empty text")
 
     @property
