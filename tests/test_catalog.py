@@ -1,3 +1,4 @@
+import random
 import os
 import zipfile
 from datetime import datetime, timedelta, timezone
@@ -172,6 +173,33 @@ def test_encodings():
     assert encoding_of(b"a\0b") is None and decode("hé".encode("utf-16")) == "hé" and decode(b"caf\xe9") == "café"
 
 
+@pytest.mark.parametrize(
+    "name, text",
+    [
+        ("cp1251", "Привет, это обычный русский текст в старой кодировке."), ("koi8-r", "Привет, это обычный русский текст в старой кодировке."),
+        ("cp866", "Привет, это обычный русский текст в старой кодировке."), ("cp1253", "Καλημέρα, αυτό είναι ένα ελληνικό κείμενο."),
+        ("cp1252", "Déjà vu: le café était fermé, voilà une façon étrange."), ("cp1250", "Zażółć gęślą jaźń, dziś wieczór będzie źle."),
+        ("cp932", "これは日本語の文章です。文字コードを調べます。"), ("euc_jp", "これは日本語の文章です。文字コードを調べます。"), ("gbk", "这是一个中文文件，我们要检查它的编码。"),
+        ("euc_kr", "이것은 한국어 문장입니다. 인코딩을 확인합니다."), ("big5", "這是一個中文檔案，我們要檢查它的編碼。"),
+    ],
+)
+def test_legacy_encodings(name, text):
+    assert decode(text.encode(name)) == text
+
+
+def test_rolling_rate_looks_back(spark):
+    rng = random.Random(5)
+    points = sorted({rng.randint(0, 200) for _ in range(60)})
+    done = {t: i * rng.randint(1, 3) for i, t in enumerate(points)}
+    df = spark.createDataFrame([(T(t), done[t]) for t in points] + [(None, 5)], "ts timestamp, done long")
+    got = {r.at_us // 1_000_000: r.rate for r in reports.rolling_rate(df, 30).collect()}
+    want = {}
+    for t in points:
+        a = min(p for p in points if t - 30 <= p)
+        want[t] = None if a == t else (done[t] - done[a]) / (t - a)
+    assert got.keys() == want.keys() and all(want[t] is None and got[t] is None or abs(got[t] - want[t]) < 1e-9 for t in points)
+
+
 def container(members):
     import io
 
