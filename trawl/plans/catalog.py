@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.plans import change_queries, event_queries, report_queries, search_queries
+from trawl.plans import change_queries, event_queries, golden_queries, report_queries, search_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [search_queries, report_queries, event_queries, change_queries]
+_MODULES = [search_queries, report_queries, event_queries, change_queries, golden_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.operators import reports
-from trawl.runtime import table
+from trawl.runtime import scratch, table
 from trawl.streaming import events as ev
 
 
@@ -44,9 +44,19 @@ def events_applied(spark: SparkSession, d: str) -> DataFrame:
     return ev.apply_to(table(spark, d, "files"), ev.normalise(_events(spark, d))).select("id", "path")
 
 
+def events_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog after the stream, what was created or changed as the newest reading of the walker has it."""
+    r = table(spark, d, "scan_records").filter("mtime is not null")
+    newest = r.groupBy("path").agg(F.max(F.struct("seen_at", "batch_no", "rec_id", "mtime", "size")).alias("r"))
+    found = newest.select("path", F.col("r.mtime").alias("mtime"), F.col("r.size").alias("size"))
+    files = table(spark, d, "files")
+    rest = [F.lit(None).cast(files.schema[c].dataType).alias(c) for c in files.columns if c not in ("id", "path", "mtime", "size")]
+    return ev.apply_to(files, ev.normalise(_events(spark, d)), found.select("*", *rest)).select("path", "mtime", "size")
+
+
 def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("done"))
-    return reports.rolling_rate(e, 3600).select(F.unix_micros("window_start").alias("window_start"), "rate")
+    return reports.rolling_rate(e, 3600)
 
 
 def sessions_streamed(spark: SparkSession, d: str) -> DataFrame:
@@ -55,30 +65,26 @@ def sessions_streamed(spark: SparkSession, d: str) -> DataFrame:
     The stream emits what ended before the watermark; what it still holds when all is read
     is closed through the batch.
     """
-    import uuid
-
-    from trawl.runtime import checkpoint_dir
-
     schema = spark.read.parquet(f"{d}/fs_events.parquet").schema
-    name = f"sessions_{uuid.uuid4().hex}"
     # A file source wants a folder; the glob makes one of the single file or the folder there is.
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/fs_events.parque[t]")
     stream = ev.quiet_sessions(source.filter("seq is not null").withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["seq"]), 3600)
-    out = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    out = scratch(spark, "sessions")
     query = (
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
     closed = spark.read.schema("parent string, started timestamp, ended timestamp, events long").parquet(f"{out}/data")
-    return ev.with_open_sessions(closed, _events(spark, d), 3600)
+    every = ev.with_open_sessions(closed, _events(spark, d), 3600)
+    return every.select("parent", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         events_deduplicated, events_split, events_coalesced, events_normalised, debounce_sessions, events_late,
-        events_applied, rolling_rate, sessions_streamed,
+        events_applied, events_upserted, rolling_rate, sessions_streamed,
     )
 }
 
@@ -110,7 +116,20 @@ SQL = {
         SELECT id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = f.path) AND NOT EXISTS (
             SELECT 1 FROM (SELECT unnest(list_transform(range(2, len(string_split(f.path, '/'))),
                 lambda i: array_to_string(string_split(f.path, '/')[1:i], '/'))) AS folder) a JOIN r ON r.path = a.folder)""",
-    "rolling_rate": """WITH w AS (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS window_start, epoch_us(ts) AS us, event_id FROM events),
-        a AS (SELECT window_start, arg_min(event_id, us) AS a, arg_max(event_id, us) AS b, max(us) - min(us) AS d FROM w GROUP BY 1)
-        SELECT window_start, CASE WHEN d > 0 THEN (b - a) * 1e6 / d END AS rate FROM a""",
+    "events_upserted": f"""WITH {_NORM}, found AS (SELECT path, mtime, size FROM (
+            SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, batch_no DESC, rec_id DESC) AS rn
+            FROM scan_records WHERE mtime IS NOT NULL) WHERE rn = 1),
+        t AS (SELECT DISTINCT path FROM n WHERE op <> 'remove'), sc AS (SELECT found.* FROM found JOIN t USING (path)),
+        r AS (SELECT path FROM n WHERE op = 'remove' UNION SELECT path FROM t WHERE path NOT IN (SELECT path FROM sc)),
+        kept AS (SELECT path, mtime, size FROM files f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = f.path) AND NOT EXISTS (
+            SELECT 1 FROM (SELECT unnest(list_transform(range(2, len(string_split(f.path, '/'))),
+                lambda i: array_to_string(string_split(f.path, '/')[1:i], '/'))) AS folder) a JOIN r ON r.path = a.folder))
+        SELECT k.path, CASE WHEN sc.mtime <> k.mtime THEN sc.mtime ELSE k.mtime END AS mtime,
+               CASE WHEN sc.mtime <> k.mtime THEN sc.size ELSE k.size END AS size FROM kept k LEFT JOIN sc USING (path)
+        UNION ALL SELECT path, mtime, size FROM sc WHERE path NOT IN (SELECT path FROM kept)""",
+    "rolling_rate": """WITH e AS (SELECT epoch_us(ts) AS at_us, max(event_id) AS done FROM events GROUP BY 1),
+        f AS (SELECT at_us, done, first_value(at_us) OVER w AS a_us, first_value(done) OVER w AS a FROM e
+              WINDOW w AS (ORDER BY at_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))
+        SELECT at_us, CASE WHEN at_us > a_us THEN (done - a) * 1e6 / (at_us - a_us) END AS rate FROM f""",
 }
+SQL["sessions_streamed"] = SQL["debounce_sessions"]

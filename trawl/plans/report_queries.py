@@ -218,18 +218,29 @@ _GROUPS = """SELECT lower(hex(hash)) AS hash_hex, count(*) AS copies, sum(size):
     (sum(size) - max(size))::BIGINT AS redundant_size FROM files WHERE hash IS NOT NULL AND size > 0 GROUP BY hash HAVING count(*) > 1"""
 
 
-def _type_sql() -> str:
-    top = " ".join(f"WHEN '{k}' THEN {int(v)}" for k, v in mime._TOP.items())
-    out = f"(CASE split_part(mime, '/', 1) {top} ELSE 0 END)"
-    for names, bit in mime._SUB:
-        cond = "mime = 'text/html'" if names == ("html",) else f"split_part(mime, '/', 2) IN ({', '.join(map(repr, names))})"
-        out = f"({out} | CASE WHEN {cond} THEN {int(bit)} ELSE 0 END)"
-    return f"CASE WHEN mime IS NULL THEN NULL WHEN NOT contains(mime, '/') THEN 0 ELSE {out} END"
+_TYPES = """(VALUES ('application/json', 16), ('application/pdf', 8), ('application/rtf', 8), ('application/toml', 16),
+    ('application/vnd.oasis.opendocument.text', 8), ('application/vnd.openxmlformats-officedocument.presentationml.presentation', 72),
+    ('application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', 136), ('application/vnd.openxmlformats-officedocument.wordprocessingml.document', 8),
+    ('application/zip', 32), ('audio/mpeg', 1), ('image/jpeg', 2), ('image/png', 2), ('text/csv', 16), ('text/html', 24), ('text/markdown', 16),
+    ('text/plain', 16), ('text/x-python', 16), ('video/mp4', 4)) AS t(mime, bits)"""
+_GUESSES = """(VALUES ('txt', 'text/plain'), ('md', 'text/markdown'), ('pdf', 'application/pdf'), ('csv', 'text/csv'), ('jpg', 'image/jpeg'),
+    ('log', 'text/plain'), ('html', 'text/html'), ('json', 'application/json'), ('py', 'text/x-python'), ('png', 'image/png'), ('rtf', 'application/rtf'),
+    ('zip', 'application/zip'), ('mp3', 'audio/mpeg'), ('toml', 'application/toml'), ('mp4', 'video/mp4'), ('odt', 'application/vnd.oasis.opendocument.text'),
+    ('docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'),
+    ('xlsx', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'),
+    ('pptx', 'application/vnd.openxmlformats-officedocument.presentationml.presentation')) AS t(ext, mime)"""
 
 
-def _guess_sql() -> str:
-    sure = {k: v for k, v in (mime.BY_EXTENSION | mime.PINNED).items()}
-    return f"CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sure.items()) + " END"
+def mtimes_of(spark: SparkSession, d: str) -> DataFrame:
+    return reports.mtimes_of(_files(spark, d), table(spark, d, "scan_records"))
+
+
+def rows_in_folder(spark: SparkSession, d: str) -> DataFrame:
+    return reports.rows_in(_files(spark, d), "/srv/share/inbox/")
+
+
+def overall_progress(spark: SparkSession, d: str) -> DataFrame:
+    return reports.overall_progress(_files(spark, d), _ROOTS, 10_000)
 
 
 QUERIES = {
@@ -240,6 +251,7 @@ QUERIES = {
         page_by_path, newest_per_parent, delete_subtree, delete_outside, delete_ids, delete_paths, dependents,
         oversize_states, reset_pending, classify_scan, stale_paths, insert_missing, update_basic, mime_to_type,
         guess_mime, head_hash, scope_covers, content_allowed, reconcile_content, reconcile_texts, prune_counts, extensions,
+        mtimes_of, rows_in_folder, overall_progress,
     )
 }
 
@@ -291,8 +303,13 @@ SQL = {
     "update_basic": f"""WITH {_NEWEST} SELECT f.id, f.path, CASE WHEN n.path IS NULL THEN f.mtime ELSE n.mtime END AS mtime,
         CASE WHEN n.path IS NULL THEN f.size ELSE n.size END AS size,
         CASE WHEN n.path IS NULL THEN f.content_state ELSE 0 END AS content_state FROM files f LEFT JOIN newest n ON n.path = f.path""",
-    "mime_to_type": f"SELECT DISTINCT mime, ({_type_sql()})::INT AS bits FROM files WHERE mime IS NOT NULL",
-    "guess_mime": f"SELECT id, {_guess_sql()} AS mime FROM files",
+    "mime_to_type": f"SELECT DISTINCT f.mime, t.bits::INT AS bits FROM files f LEFT JOIN {_TYPES} ON t.mime = f.mime WHERE f.mime IS NOT NULL",
+    "guess_mime": f"SELECT id, t.mime FROM files LEFT JOIN {_GUESSES} ON t.ext = {_EXT}",
+    "mtimes_of": "SELECT path, mtime FROM files WHERE path IN (SELECT path FROM scan_records)",
+    "rows_in_folder": "SELECT id, path, mtime, size FROM files WHERE parent = '/srv/share/inbox'",
+    "overall_progress": f"""SELECT *, CASE WHEN extracted + failed + to_extract > 0 THEN (extracted + failed) / (extracted + failed + to_extract)::DOUBLE END AS share
+        FROM (SELECT count(*) AS walked, count_if(content_state = 0 AND size <= 10000)::BIGINT AS to_extract, count_if(content_state = 1)::BIGINT AS extracted,
+              count_if(content_state = 2)::BIGINT AS failed FROM files WHERE {' OR '.join(f"starts_with(path, '{r}/')" for r in _ROOTS)})""",
     "scope_covers": f"SELECT id, path FROM files WHERE {_covered()}",
     "content_allowed": f"SELECT id, name FROM files WHERE {_EXT} IN ('txt', 'md') OR {_EXT} = ''",
     "reconcile_content": f"SELECT id, ({_STATE})::INT AS content_state FROM files WHERE {_covered()}",

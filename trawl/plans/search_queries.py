@@ -60,6 +60,13 @@ def _tiers_sql(tiers: list[tuple[int, str, str]], where: str = "true", tail: str
     """
 
 
+def _distance_sql(col: str, term: str = "budgte", most: int = 2) -> str:
+    """The fewest edits from the term to any substring nearly as long, tried one by one."""
+    m = len(term)
+    return f"""list_min(flatten(list_transform(range(1, greatest(length({col}), 1) + 1), lambda i: list_transform(
+        range({m - most}, {m + most + 1}), lambda n: levenshtein(substr({_fold(col)}, i, n), '{term}')))))"""
+
+
 def _wild_sql(glob: list[str], where: str = "true") -> str:
     """The tiers of a wildcard of literal pieces, RE2 taking the stars; pieces hold no special signs."""
     inner, whole = "[^\\n]*?".join(glob), "[^\\n]*".join(glob)
@@ -112,6 +119,22 @@ def search_without_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hits(files, none, "restored", grams=search.trigram_index(texts))
 
 
+def search_filters_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters by themselves find nothing; with a term they narrow it."""
+    one = lambda q: _run(q)(spark, sf_dir).agg(F.count("*").alias("hits")).select(F.lit(q).alias("query"), "hits")
+    return one("type:text path:/srv").unionByName(one("")).unionByName(one("txt type:text path:/srv"))
+
+
+def search_fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hits(table(spark, sf_dir, "files"), None, "budgte", fuzzy=True)
+
+
+def search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored bodies, those without a trigram of the term spared."""
+    texts = table(spark, sf_dir, "documents_text").select("file_id", "text")
+    return search.hits(table(spark, sf_dir, "files"), texts, "restored", grams=search.trigram_index(texts))
+
+
 _TYPE_TEXT = "(type & 16) <> 0"
 
 QUERIES = {
@@ -132,7 +155,12 @@ QUERIES = {
     "search_regex_only": _run("regex:[bB]udget.{0,20}0[1-4]"),
     "search_regex_accept": _run("budget regex:draft[s]?"),
     "search_fuzzy": _run("budgte", fuzzy=True),
-    "search_filters_alone": _run("type:text path:/srv"),
+    "search_filters_alone": search_filters_alone,
+    "search_fuzzy_names": search_fuzzy_names,
+    "search_pruned": search_pruned,
+    "search_filter_day": _run("report modified:2024-05-17"),
+    "search_filter_after": _run("report modified:>2024-05-17 mtime:<=2024-12-31"),
+    "search_filter_folder": _run("report folder:/home filename:*txt"),
     "search_resorted": search_resorted,
     "search_without_texts": search_without_texts,
     "snippets_topk": snippets_topk,
@@ -158,7 +186,26 @@ SQL = {
     "search_regex_accept": _literal_sql(
         "budget", "(regexp_matches(path, '(?im)draft[s]?') OR coalesce(regexp_matches(text, '(?im)draft[s]?'), false))"
     ),
-    "search_filters_alone": "SELECT id AS file_id, name, path, size, mtime, 0.0::DOUBLE AS rank, 0 AS stage, '' AS match_field FROM files WHERE false",
+    "search_filters_alone": """SELECT 'type:text path:/srv' AS query, 0::BIGINT AS hits UNION ALL SELECT '', 0
+        UNION ALL SELECT 'txt type:text path:/srv', count(*) FROM (""" + _literal_sql("txt", f"(type & 16) <> 0 AND (parent = '/srv' OR starts_with({_fold('parent')}, '/srv/'))") + ")",
+    "search_fuzzy_names": f"""
+        WITH d AS (SELECT *, {_distance_sql("name")} AS dn, {_distance_sql("path")} AS dp FROM files),
+        t AS (SELECT *, CASE WHEN name = 'budgte' THEN 1 WHEN {_fold("name")} = 'budgte' THEN 2 WHEN contains(name, 'budgte') THEN 3
+            WHEN contains({_fold("name")}, 'budgte') THEN 4 WHEN dn <= 2 THEN 7 WHEN contains(path, 'budgte') THEN 9
+            WHEN contains({_fold("path")}, 'budgte') THEN 10 WHEN dp <= 2 THEN 11 END AS stage FROM d)
+        SELECT id AS file_id, name, path, size, mtime, stage + CASE stage WHEN 7 THEN 0.1::DOUBLE * dn WHEN 11 THEN 0.1::DOUBLE * dp ELSE 0.0::DOUBLE END AS rank, stage,
+            CASE WHEN stage IN (1, 2, 3, 4, 7) THEN 'name' ELSE 'path' END AS match_field FROM t WHERE stage IS NOT NULL""",
+    "search_pruned": _literal_sql("restored"),
+    "search_filter_day": _literal_sql("report", "mtime >= 1715904000 AND mtime < 1715990400"),
+    "search_filter_after": _literal_sql("report", "mtime >= 1715990400 AND mtime < 1735689600"),
+    "search_filter_folder": _literal_sql("report", f"(parent = '/home' OR starts_with({_fold('parent')}, '/home/')) AND {_fold('name')} LIKE '%txt'"),
+    "search_without_texts": _tiers_sql(
+        [
+            (1, "name = 'restored'", "1.0"), (2, f"{_fold('name')} = 'restored'", "2.0"), (3, "contains(name, 'restored')", "3.0"),
+            (4, f"contains({_fold('name')}, 'restored')", "4.0"), (6, " AND ".join(f"contains({_fold('text')}, '{g}')" for g in ("res", "est", "sto", "tor", "ore", "red")), "6.999"),
+            (9, "contains(path, 'restored')", "9.0"), (10, f"contains({_fold('path')}, 'restored')", "10.0"),
+        ]
+    ),
     "search_resorted": _literal_sql("index", _TYPE_TEXT, tail="ORDER BY size DESC, path LIMIT 200"),
     "trigram_postings": f"""
         SELECT gram, count(*) AS files FROM (
