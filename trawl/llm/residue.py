@@ -448,8 +448,9 @@ def by_tables(lines: DataFrame, front: DataFrame, radius: int, least: float) ->
 
     A fingerprint is cut into 8 bytes, and every pair of them is a key of 16 bits into one
     of 28 tables; those that agree in a key are compared by Hamming distance, then by their
-    texts. A table is a join on the key, so none is held by any one task; a line is done
-    with its first hit.
+    texts. A table is a join on the key, so none is held by any one task, and none is sent
+    out (Spark would take it for as small as the lines it came from); a line is done with
+    its first hit.
     """
     byte = [F.shiftrightunsigned("hash", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
     pairs = [(i, j) for i in range(8) for j in range(i)]
@@ -458,7 +459,7 @@ def by_tables(lines: DataFrame, front: DataFrame, radius: int, least: float) ->
     b = front.select(F.col("set").alias("f_set"), F.col("hash").alias("f_hash"), F.explode(at).alias("f_at"))
     close = F.bit_count(F.col("hash").bitwiseXOR(F.col("f_hash"))) <= radius
     near = (F.col("at") == F.col("f_at")) & close & _sizes_fit(least) & _similar(least)
-    return a.join(b, near, "left_semi").select("space", "key").distinct()
+    return a.join(b.hint("merge"), near, "left_semi").select("space", "key").distinct()
 
 
 def by_shingles(lines: DataFrame, front: DataFrame, least: float) -> DataFrame:
@@ -479,7 +480,7 @@ def by_shingles(lines: DataFrame, front: DataFrame, least: float) -> DataFrame:
 
     b = rarest(front).select(F.col("space").alias("f_space"), F.col("set").alias("f_set"), F.col("s").alias("f_s"))
     same = (F.col("space") == F.col("f_space")) & (F.col("s") == F.col("f_s"))
-    return rarest(lines).join(b, same & _sizes_fit(least) & _similar(least), "left_semi").select("space", "key").distinct()
+    return rarest(lines).join(b.hint("merge"), same & _sizes_fit(least) & _similar(least), "left_semi").select("space", "key").distinct()
 
 
 def spread(nodes: DataFrame, trusted: DataFrame, radius: int = 11, least: float = 0.8) -> DataFrame:
