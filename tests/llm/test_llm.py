@@ -3,6 +3,7 @@ import random
 import unicodedata
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -211,6 +212,38 @@ def test_repair(spark):
     assert got[2000] == "la búsqueda rápida" and got[2001] == "los años perdidos" and got[2002] == "Каждая папка хранит три версии"
     assert got[2004] == "plain words and one répertoire only"
     assert mojibake.damaged_files(spark.createDataFrame([], "file_id long, text string")).count() == 0
+    # The same from packed bodies; a body without a frame is read from its text, a broken frame is none.
+    pack = zstandard.ZstdCompressor().compress
+    rows = [(r.file_id, None if r.text and r.file_id not in (2001, 2003) else r.text, pack(r.text.encode()) if r.text and r.file_id not in (2001, 2003) else None) for r in df.collect()]
+    rows += [(4000, bad[2000], b"no frame"), (4001, None, None), (4002, None, pack(b"\xff\xfe")), (4003, "ignored Ã©", pack("fine é".encode()))]
+    packed = spark.createDataFrame(rows, "file_id long, text string, text_zstd binary")
+    assert {r.file_id: r.restored for r in mojibake.repaired(packed).collect()} == got
+
+
+def test_every_chain_has_a_way_back():
+    """Whatever was read as whatever is undone, if the reading lost nothing."""
+    texts = {"cp1251": "Каждая папка", "cp866": "Каждая папка", "koi8-r": "Каждая папка", "iso8859-7": "αρχείο και", "cp1253": "αρχείο και", "euc-jp": "索引の文書", "cp932": "索引の文書", "gbk": "检查索引"}
+    tried = 0
+    for read_as, was in mojibake._PRICES:
+        text = texts.get(was, "déjà müde ñ" if was in ("utf-8", "cp1252", "cp437", "cp850", "mac-roman") else "łódź żółw")
+        raw = text.encode(was, "ignore")
+        try:
+            hurt = raw.decode(read_as) if read_as in mojibake._WIDE else mojibake.damage(raw.decode(was), read_as, was)
+        except UnicodeDecodeError:
+            continue
+        if hurt is None or hurt == raw.decode(was) or (read_as in mojibake._WIDE and hurt.encode(read_as) != raw):
+            continue
+        tried += 1
+        assert mojibake.undo(hurt, read_as, was) == raw.decode(was), (read_as, was)
+    assert tried > 200 and set(mojibake._PRICES) == {(r, w) for r in mojibake.READ_AS for w in mojibake.WERE if r != w}
+
+
+def test_margins_come_from_bodies_left_out(spark):
+    rows = mojibake.bodies(spark.createDataFrame(list(enumerate(corpus(random.Random(41), 500))), "file_id long, text string"), "file_id", "text", "text_zstd")
+    every = mojibake.count_pairs(rows)[2]
+    _, _, records, margin, utf8 = mojibake.train(rows)
+    assert 0.8 * every < records < every and 7 <= margin <= 16 and 3 <= utf8 <= 12
+    assert mojibake.train(rows, held_out=5)[2] == every - 5
 
 
 # 6 --------------------------------------------------------------------------------
