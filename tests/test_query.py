@@ -85,3 +85,41 @@ def test_lexer_takes_everything(text):
 
 def test_regex_is_linear():
     assert Regex("(a+)+$").pattern
+
+
+def test_empty_matches_are_found():
+    for source in (r"\b", "^", "$", "a*", "(x|)", r"\B"):
+        with pytest.raises(BadRegex):
+            Regex(source)
+    assert Regex("a+b?").pattern and Regex(r"\bword").pattern
+
+
+def test_like_and_roots(tmp_path):
+    from trawl.functions.text import like_escaped, root_path
+
+    assert like_escaped("100%_\\") == "100\\%\\_\\\\"
+    (tmp_path / "real").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    assert root_path(f"{tmp_path}/link/./") == str(tmp_path / "real")
+
+
+def test_settings_are_kept(tmp_path):
+    from trawl.model import Config
+
+    c = Config(roots=("/a", '/b "é"'), store_text=False, fuzzy_max_edits=1, ignore=())
+    c.save(str(tmp_path / "trawl.toml"))
+    assert Config.load(str(tmp_path / "trawl.toml")) == c and Config.place(str(tmp_path)) == str(tmp_path / "trawl.toml")
+
+
+def test_log_ring():
+    import logging
+
+    from trawl.log import Ring
+
+    ring, log = Ring(size=30), logging.getLogger("trawl.test")
+    log.addHandler(ring)
+    log.setLevel(logging.INFO)
+    for i in range(50):
+        log.warning("can't read %s", i)
+    log.info("Done with %s", "it")
+    assert len(ring.shown(warnings=True)) == 20 and ring.left_out() == {"can't read %s": 30} and [x.text for x in ring.shown(holding="DONE")] == ["Done with it"]

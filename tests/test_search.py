@@ -141,3 +141,38 @@ def test_approximate_matches_brute_force():
         for t, b, c in zip(texts, best.tolist(), count.tolist()):
             want = brute(p, t)
             assert b == (want if want <= m.k else -1) and c == m.count(t)
+
+
+def test_results_in_parts(spark):
+    from trawl.operators.live import Search, admit
+
+    files, texts = catalog(spark, NAMES, TEXTS)
+    parts = list(Search(files, texts, "Report", options={"fuzzy": True}).parts())
+    assert [r.file_id for r in parts[-1]] == list(range(1, 12)) and {r.file_id for r in parts[0]} == {1, 2, 3, 4, 7, 9, 10, 11}
+    called_off = Search(files, texts, "Report")
+    got = []
+    for part in called_off.parts():
+        got.append(part)
+        called_off.cancel()
+    assert len(got) == 1
+    a, b = parts[0][:2], parts[-1]
+    assert [r.file_id for r in admit(a, b, 3)] == [1, 2, 3] and admit([], [], 5) == []
+
+
+def test_packed_bodies(spark):
+    from pyspark.sql import functions as F
+
+    from trawl.functions.packed import packed, unpacked, with_texts
+
+    df = spark.createDataFrame([(1, "é" * 9999), (2, ""), (3, None)], "file_id long, text string").withColumn("text_zstd", packed(F.col("text")))
+    assert {r.file_id: r.text for r in with_texts(df.drop("text")).collect()} == {1: "é" * 9999, 2: "", 3: None}
+    broken = spark.createDataFrame([(b"no frame",), (None,)], "z binary").select(unpacked(F.col("z")))
+    assert [r[0] for r in broken.collect()] == [None, None]
+
+
+def test_clamped_ranges():
+    from trawl.functions.kernels import clamp_range
+
+    data = "aéé".encode()
+    assert [clamp_range(data, 0, 5, n) for n in (9, 5, 4, 3, 2)] == [(0, 5), (0, 5), (0, 3), (0, 3), (0, 1)]
+    assert len(cut_window("x" * 5000, [(0, 5000)], 100)["window"]) == 200

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -17,6 +18,9 @@ from trawl.runtime import cut
 from trawl.streaming.events import Schedule, verb_for, watch
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class State:
     mode: str
@@ -25,6 +29,8 @@ class State:
     pending: int
     epoch: int
     roots: dict[str, tuple[int, int]]
+    outstanding: bool = False
+    degraded: bool = False
 
 
 class Engine:
@@ -41,7 +47,11 @@ class Engine:
 
     def reindex(self, now: int | None = None) -> dict[str, int]:
         """A full run, whatever the mode; the mode is the same afterwards."""
-        return ingest.full_run(self.spark, self.catalog, self.config, now)
+        before, self.schedule = self.schedule, self.schedule.during_run()
+        try:
+            return ingest.full_run(self.spark, self.catalog, self.config, now)
+        finally:
+            self.schedule = before
 
     def refresh(self, paths: Sequence[str], now: int | None = None) -> int:
         """Bring single paths up to date, contents included; those under no root are left alone. How many were looked at."""
@@ -50,9 +60,11 @@ class Engine:
         ops = [(p, verb_for(os.path.lexists(p))) for p in dict.fromkeys(paths)]
         return ingest.targeted_run(self.spark, self.catalog, self.config, ops, now).get("looked_at", 0)
 
-    def watch(self, events: DataFrame, checkpoint: str, once: bool = False, settle: str = "2 seconds") -> StreamingQuery:
+    def watch(self, events: DataFrame, checkpoint: str, once: bool = False, settle: str = "2 seconds") -> StreamingQuery | None:
         """Keep the catalog in step with a stream of events, or (`once`) with what has arrived so far.
 
+        A batch is what came in `settle`, so no event waits longer than that and a batch. If
+        the stream can't be started the engine is degraded: None, and periodic runs go on.
         Batches are committed under their number, so one that is replayed after a failure
         changes nothing; too many paths in a batch make a full run.
         """
@@ -60,7 +72,12 @@ class Engine:
             rows = [(r.path, r.op) for r in ops.select("path", "op").collect()]  # OVERFLOW of them at most
             ingest.targeted_run(self.spark, self.catalog, self.config, rows, batch=number)
 
-        return watch(events, apply, self.reindex, checkpoint, settle, once)
+        try:
+            return watch(events, apply, self.reindex, checkpoint, settle, once)
+        except Exception:
+            log.warning("events can't be watched, periodic runs only", exc_info=True)
+            self.schedule = replace(self.schedule, degraded=True)
+            return None
 
     def apply_config(self, config: Config) -> reconcile.IndexWork:
         """Take up new settings. What needs no disk is done at once; a rebuild is left to the caller.
@@ -114,7 +131,7 @@ class Engine:
         count = files.agg(F.count("*"), F.count_if(F.col("content_state") == 0)).head()
         roots = {r.root: (r.files, r.with_content) for r in reports.counts_by_root(files, self.config.roots).collect()}
         last = meta.get("last_full_index")
-        return State(self.schedule.mode, int(last) if last else None, count[0], count[1], self.catalog.epoch, roots)
+        return State(self.schedule.mode, int(last) if last else None, count[0], count[1], self.catalog.epoch, roots, "outstanding" in meta, self.schedule.degraded)
 
     def search(self, text: str, limit: int | None = None, **options) -> tuple[list, Outcome]:
         options.setdefault("fuzzy", self.config.fuzzy_default)

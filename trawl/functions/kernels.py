@@ -228,15 +228,20 @@ def _right(data: bytes, i: int) -> int:
     return min(i, len(data))
 
 
+def clamp_range(data: bytes, start: int, end: int, most: int) -> tuple[int, int]:
+    """The range cut to at most so many bytes, whole characters only."""
+    return (start, end) if end - start <= most else (start, max(start, _left(data, start + most)))
+
+
 def cut_window(text: str, ranges: list[tuple[int, int]], budget: int = 600) -> dict:
     """About `budget` bytes of text around its first match, a third of them before it.
 
     Ranges are byte ranges of the text; those returned are merged, clipped and relative to
-    the window. A match that runs over the right edge is kept whole. Without matches: the
-    head of the text.
+    the window. A match that runs over the right edge is kept whole, up to twice the
+    budget. Without matches: the head of the text.
     """
     data = text.encode()
-    ranges = merge_ranges(ranges)
+    ranges = merge_ranges([clamp_range(data, a, b, 2 * budget) for a, b in ranges])
     start = max(0, ranges[0][0] - budget // 3) if ranges else 0
     end = min(len(data), start + budget)
     start, end = _left(data, start), _right(data, end)

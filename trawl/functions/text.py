@@ -26,6 +26,18 @@ def quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def like_escaped(text: str) -> str:
+    """The text as a LIKE pattern that means itself, for ESCAPE '\\\\'."""
+    return re.sub(r"([\\%_])", r"\\\1", text)
+
+
+def root_path(path: str) -> str:
+    """A root as catalog paths begin: absolute, links and dots resolved, no separator at the end."""
+    import os
+
+    return os.path.realpath(os.path.expanduser(path)).rstrip("/")
+
+
 def contains_any_case(col: Column, *texts: str) -> Column:
     """One of the texts occurs, ASCII case ignored.
 

@@ -86,6 +86,25 @@ class Config:
         return cls(**flat)
 
 
+    def save(self, path: str) -> None:
+        """All settings as TOML; load() gives them back."""
+        import json
+
+        lines = []
+        for f in fields(self):
+            v = getattr(self, f.name)
+            # JSON strings, numbers, booleans and lists of strings are TOML as well.
+            lines.append(f"{f.name} = {json.dumps(list(v) if isinstance(v, tuple) else v, ensure_ascii=False)}")
+        with open(os.path.expanduser(path), "w", encoding="utf-8") as out:
+            out.write("\n".join(lines) + "\n")
+
+    @classmethod
+    def place(cls, catalog: str) -> str:
+        """Where the settings of a catalog lie: beside it if such a file is there (portable), else in the user's settings."""
+        beside = os.path.join(catalog, "trawl.toml")
+        return beside if os.path.exists(beside) else os.path.expanduser("~/.config/trawl/trawl.toml")
+
+
 @dataclass
 class Outcome:
     """How a search ended: rows returned, and whether more matched."""

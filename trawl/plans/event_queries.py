@@ -35,6 +35,11 @@ def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("parent", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events")
 
 
+def debounce_flushes(spark: SparkSession, d: str) -> DataFrame:
+    s = ev.flushes(ev.deduplicated(_events(spark, d)), 3600)
+    return s.select("parent", F.unix_micros("at").alias("at_us"), "kind", "events")
+
+
 def events_late(spark: SparkSession, d: str) -> DataFrame:
     return ev.late_by(_events(spark, d)).filter("late_seconds > 0")
 
@@ -83,7 +88,7 @@ def sessions_streamed(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        events_deduplicated, events_split, events_coalesced, events_normalised, debounce_sessions, events_late,
+        events_deduplicated, events_split, events_coalesced, events_normalised, debounce_sessions, debounce_flushes, events_late,
         events_applied, events_upserted, rolling_rate, sessions_streamed,
     )
 }
@@ -133,3 +138,5 @@ SQL = {
         SELECT at_us, CASE WHEN at_us > a_us THEN (done - a) * 1e6 / (at_us - a_us) END AS rate FROM f""",
 }
 SQL["sessions_streamed"] = SQL["debounce_sessions"]
+SQL["debounce_flushes"] = f"""WITH s AS ({SQL["debounce_sessions"]}) SELECT parent, started AS at_us, 'lead' AS kind, 1::BIGINT AS events FROM s
+    UNION ALL SELECT parent, ended, 'trail', events - 1 FROM s WHERE events > 1"""

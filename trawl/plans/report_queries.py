@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.functions.text import extension_of, ignored, under
+from trawl.functions.packed import packed, unpacked
+from trawl.functions.text import extension_of, ignored, like_escaped, under
 from trawl.model import Config, ContentState
-from trawl.operators import reconcile, reports, tables
+from trawl.operators import live, reconcile, reports, search, tables
 from trawl.runtime import table
 from trawl.sources import mime, scan
 
@@ -239,6 +240,31 @@ def rows_in_folder(spark: SparkSession, d: str) -> DataFrame:
     return reports.rows_in(_files(spark, d), "/srv/share/inbox/")
 
 
+def texts_unpacked(spark: SparkSession, d: str) -> DataFrame:
+    """Every body from its zstd frame."""
+    return _texts(spark, d).select("file_id", unpacked(F.col("text_zstd")).alias("text"))
+
+
+def texts_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every body packed and unpacked again, with the size of its frame against that of the stored one."""
+    rows = _texts(spark, d).select("file_id", "text", "text_zstd", packed(F.col("text")).alias("z"))
+    return rows.select("file_id", (F.col("z") == F.col("text_zstd")).alias("same_frame"), (unpacked(F.col("z")) == F.col("text")).alias("same_text")).select("file_id", "same_text")
+
+
+def like_escaped_names(spark: SparkSession, d: str) -> DataFrame:
+    names = _files(spark, d).select("id", "name")
+    return names.filter(F.col("name").like("%" + like_escaped("_") + "%")).select("id")
+
+
+def live_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of an earlier search against the catalog after a rename, a removal and newer readings."""
+    files = _files(spark, d)
+    shown = search.hits(files, None, "report").select("file_id", "path", "mtime")
+    now = tables.update_basic(tables.without_subtree(files, "/home"), _newest_scan(spark, d).join(files.drop("mtime", "size"), "path"))
+    moved = F.when(under(F.col("path"), "/mnt/archive"), F.concat(F.lit("/mnt/vault"), F.substring("path", 13, 10_000))).otherwise(F.col("path"))
+    return live.live_rows(shown, now.withColumn("path", moved))
+
+
 def overall_progress(spark: SparkSession, d: str) -> DataFrame:
     return reports.overall_progress(_files(spark, d), _ROOTS, 10_000)
 
@@ -251,7 +277,7 @@ QUERIES = {
         page_by_path, newest_per_parent, delete_subtree, delete_outside, delete_ids, delete_paths, dependents,
         oversize_states, reset_pending, classify_scan, stale_paths, insert_missing, update_basic, mime_to_type,
         guess_mime, head_hash, scope_covers, content_allowed, reconcile_content, reconcile_texts, prune_counts, extensions,
-        mtimes_of, rows_in_folder, overall_progress,
+        mtimes_of, rows_in_folder, overall_progress, texts_unpacked, texts_packed, like_escaped_names, live_rows,
     )
 }
 
@@ -310,6 +336,14 @@ SQL = {
     "overall_progress": f"""SELECT *, CASE WHEN extracted + failed + to_extract > 0 THEN (extracted + failed) / (extracted + failed + to_extract)::DOUBLE END AS share
         FROM (SELECT count(*) AS walked, count_if(content_state = 0 AND size <= 10000)::BIGINT AS to_extract, count_if(content_state = 1)::BIGINT AS extracted,
               count_if(content_state = 2)::BIGINT AS failed FROM files WHERE {' OR '.join(f"starts_with(path, '{r}/')" for r in _ROOTS)})""",
+    "texts_unpacked": "SELECT file_id, text FROM documents_text",
+    "texts_packed": "SELECT file_id, true AS same_text FROM documents_text",
+    "like_escaped_names": "SELECT id FROM files WHERE contains(name, '_')",
+    "live_rows": f"""WITH {_NEWEST}, shown AS (SELECT id, path, mtime FROM files WHERE contains(translate(path, '{_UP}', '{_LOW}'), 'report')),
+        now AS (SELECT f.id, CASE WHEN f.path >= '/mnt/archive/' AND f.path < '/mnt/archive0' THEN '/mnt/vault' || substr(f.path, 13) ELSE f.path END AS p,
+                CASE WHEN n.path IS NULL THEN f.mtime ELSE n.mtime END AS m FROM files f LEFT JOIN newest n ON n.path = f.path WHERE NOT (f.path >= '/home/' AND f.path < '/home0'))
+        SELECT s.id AS file_id, s.path, CASE WHEN p IS NULL THEN 'gone' WHEN p <> s.path THEN 'renamed' WHEN m IS DISTINCT FROM s.mtime THEN 'changed' ELSE 'same' END AS status,
+            p AS now_path FROM shown s LEFT JOIN now ON now.id = s.id""",
     "scope_covers": f"SELECT id, path FROM files WHERE {_covered()}",
     "content_allowed": f"SELECT id, name FROM files WHERE {_EXT} IN ('txt', 'md') OR {_EXT} = ''",
     "reconcile_content": f"SELECT id, ({_STATE})::INT AS content_state FROM files WHERE {_covered()}",

@@ -197,7 +197,7 @@ SQL = {
             CASE WHEN stage IN (1, 2, 3, 4, 7) THEN 'name' ELSE 'path' END AS match_field FROM t WHERE stage IS NOT NULL""",
     "search_pruned": _literal_sql("restored"),
     "search_filter_day": _literal_sql("report", "mtime >= 1715904000 AND mtime < 1715990400"),
-    "search_filter_after": _literal_sql("report", "mtime >= 1715990400 AND mtime < 1735689600"),
+    "search_filter_after": _literal_sql("report", "mtime > 1715904000 AND mtime <= 1735603200"),
     "search_filter_folder": _literal_sql("report", f"(parent = '/home' OR starts_with({_fold('parent')}, '/home/')) AND {_fold('name')} LIKE '%txt'"),
     "search_without_texts": _tiers_sql(
         [

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trawl.functions.text import ascii_fold, ascii_lower
 from trawl.model import FileType
 from trawl.query.errors import BadDate, UnknownProperty, UnsupportedOp
+from trawl.query.lexer import Op
 
 _ALIASES = {
     "type": "type", "modified": "modified", "mtime": "modified", "path": "path", "folder": "path",
@@ -40,7 +41,7 @@ def build_filter(key: str, op: str, value: str, glob: bool = False) -> Column:
     kind = _ALIASES.get(key.lower())
     if kind is None:
         raise UnknownProperty(key)
-    allowed = {"modified": (":", "=", "<", "<=", ">", ">="), "name": (":",)}.get(kind, (":", "="))
+    allowed = {"modified": tuple(Op), "name": (Op.CONTAINS,)}.get(kind, (Op.CONTAINS, Op.EQUAL))
     if op not in allowed:
         raise UnsupportedOp(key, op)
     if kind == "type":

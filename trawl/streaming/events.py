@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
@@ -66,6 +66,19 @@ def quiet_sessions(events: DataFrame, gap_seconds: int = 30) -> DataFrame:
     )
 
 
+def flushes(events: DataFrame, gap_seconds: int = 30) -> DataFrame:
+    """(parent, at, kind, events): when a folder's events are handed on.
+
+    The first of a burst at once ('lead'), the others together once the folder was quiet
+    for `gap_seconds` ('trail'). Batch or streaming; a stream forgets a folder when its
+    watermark has passed the burst.
+    """
+    s = quiet_sessions(events, gap_seconds)
+    lead = F.struct(F.col("started").alias("at"), F.lit("lead").alias("kind"), F.lit(1).cast("long").alias("events"))
+    trail = F.struct(F.col("ended").alias("at"), F.lit("trail").alias("kind"), (F.col("events") - 1).alias("events"))
+    return s.select("parent", F.inline(F.when(F.col("events") > 1, F.array(lead, trail)).otherwise(F.array(lead))))
+
+
 def with_open_sessions(closed: DataFrame, events: DataFrame, gap_seconds: int = 30) -> DataFrame:
     """The sessions a stopped stream has emitted, and those of the events it still held.
 
@@ -165,6 +178,15 @@ class Schedule:
 
     interval: timedelta = timedelta(hours=1)
     mode: str = "auto"  # auto, stopped, running
+    degraded: bool = False  # events can't be had: periodic runs alone keep the catalog in step
+
+    @property
+    def watches(self) -> bool:
+        return self.mode == "auto" and not self.degraded
+
+    def during_run(self) -> Schedule:
+        """While a run that was asked for goes on; stopped ones go back to stopped afterwards."""
+        return replace(self, mode="running") if self.mode == "stopped" else self
 
     def due(self, last: datetime | None, now: datetime) -> bool:
         """Never run, the interval is over, or the clock went back."""
