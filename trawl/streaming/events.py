@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trawl.functions.text import ancestors, parent_of
+from trawl.runtime import spill
 
 OVERFLOW = 100_000
 
@@ -104,12 +105,15 @@ def late_by(events: DataFrame) -> DataFrame:
     """(seq, late_seconds): how far an event's time lies behind the latest time seen before it, in blocks of seq.
 
     Running maxima are taken inside blocks of 2^16 numbers and carried over from block to
-    block, so no task orders all events.
+    block, and in the same way over blocks of blocks, so no task orders all events.
     """
-    rows = deduplicated(events).withColumn("block", F.shiftright("seq", 16))
-    tops = rows.groupBy("block").agg(F.max("ts").alias("top"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    carried = tops.select("block", F.max("top").over(before).alias("carried"))
+    rows = deduplicated(events).withColumn("block", F.shiftright("seq", 16)).withColumn("far", F.shiftright("seq", 32))
+    tops = rows.groupBy("far", "block").agg(F.max("ts").alias("top"))
+    farther = tops.groupBy("far").agg(F.max("top").alias("top"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per 2^32 numbers, then 2^16 rows per such block.
+    over = farther.select("far", F.max("top").over(before(F.lit(0), "far")).alias("over"))
+    carried = tops.join(over, "far").select("block", F.greatest(F.max("top").over(before("far", "block")), F.col("over")).alias("carried"))
     w = Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.join(carried, "block").withColumn("seen", F.greatest(F.max("ts").over(w), F.col("carried")))
     return seen.select("seq", ((F.unix_micros("seen") - F.unix_micros("ts")) / 1e6).alias("late_seconds"))
@@ -127,8 +131,11 @@ def apply_to(files: DataFrame, ops: DataFrame, scanned: DataFrame | None = None)
     touched = ops.filter("op != 'remove'").select("path")
     if scanned is not None:
         gone = gone.unionByName(touched.join(scanned.select("path"), "path", "left_anti"))
+    gone = spill(gone.select(F.col("path").alias("folder")).distinct())
+    # A batch has OVERFLOW paths at most: they are sent to where the catalog is read, not the other way round.
+    sent = F.broadcast(gone) if gone.count() <= OVERFLOW else gone
     above = files.select("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("folder"))
-    hit = above.join(gone.select(F.col("path").alias("folder")).distinct(), "folder", "left_semi").select("path").distinct()
+    hit = above.join(sent, "folder", "left_semi").select("path").distinct()
     out = files.join(hit, "path", "left_anti").select(*files.columns)
     if scanned is None:
         return out
