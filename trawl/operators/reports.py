@@ -199,6 +199,18 @@ def overall_progress(files: DataFrame, roots: Sequence[str], most: int) -> DataF
     return out.withColumn("share", F.when(settled + F.col("to_extract") > 0, settled / (settled + F.col("to_extract"))))
 
 
+def progress_by_root(files: DataFrame, roots: Sequence[str], most: int) -> DataFrame:
+    """(root, walked, to_extract, extracted): what there is to do and done below each root, in one scan."""
+    state, aggs, out = F.col("content_state"), [], []
+    small = F.coalesce(F.col("size") <= most, F.lit(False))
+    for i, r in enumerate(dict.fromkeys(roots)):
+        inside = under(F.col("path"), r)
+        tests = {"walked": inside, "to_extract": inside & (state == ContentState.PENDING) & small, "extracted": inside & (state == ContentState.DONE)}
+        aggs += [F.count_if(t).alias(f"{n}{i}") for n, t in tests.items()]
+        out.append(F.struct(F.lit(r).alias("root"), *[F.col(f"{n}{i}").alias(n) for n in tests]))
+    return files.agg(*aggs).select(F.inline(F.array(*out)))
+
+
 def mtimes_of(files: DataFrame, paths: DataFrame) -> DataFrame:
     """(path, mtime) of known paths."""
     return files.join(paths.select("path").distinct(), "path", "left_semi").select("path", "mtime")

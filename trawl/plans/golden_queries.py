@@ -96,6 +96,7 @@ MERGED = [("drop, then restore", "restore_text"), ("restore, then drop", "drop_t
 NESTED = [("/a/b", "/a"), ("/a/b/c", "/a"), ("/a/b/c", "/a/b"), ("/x", "/x")]
 DUE = [("never run", True), ("five minutes ago", False), ("an hour ago", True), ("clock went back", True), ("stopped", False)]
 VERBS = [("there", "modify"), ("gone", "remove"), ("unknown", None)]
+FAILURES = [("query", "query"), ("no catalog", "missing"), ("no table", "missing"), ("other version", "version"), ("other writer", "taken"), ("called off", "cancelled"), ("else", "other")]
 LABELS = [("3 of 3", "3"), ("3 of more", "3+"), ("none", "0")]
 FORMATS = [
     ("human_size 999", "999 B"), ("human_size 1500000", "1.5 MB"), ("clock 59", "0:59"), ("clock 3661", "1:01:01"), ("ago 7200", "2 hours ago"),
@@ -280,6 +281,18 @@ def result_labels(spark: SparkSession, d: str) -> DataFrame:
     return _frame(spark, [("3 of 3", Outcome(3).label()), ("3 of more", Outcome(3, True).label()), ("none", Outcome().label())], "found string, label string")
 
 
+def error_kinds(spark: SparkSession, d: str) -> DataFrame:
+    from trawl.catalog import CatalogDrift
+    from trawl.commits import Taken
+    from trawl.query.errors import BadRegex, kind_of
+
+    given = {
+        "query": BadRegex("x"), "no catalog": FileNotFoundError("x"), "no table": RuntimeError("[PATH_NOT_FOUND] x"), "other version": CatalogDrift("x"),
+        "other writer": Taken("x"), "called off": RuntimeError("Job 3 cancelled"), "else": ValueError("x"),
+    }
+    return _frame(spark, [(k, kind_of(e)) for k, e in given.items()], "error string, kind string")
+
+
 def formats(spark: SparkSession, d: str) -> DataFrame:
     named = lambda n: "" if (t := FileType.named(n)) is None else str(int(t))
     out = [
@@ -294,7 +307,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexer_tokens, query_terms, query_errors, query_dates, query_keys, query_highlight, query_patterns, rank_contract, fuzzy_budgets, fuzzy_counts,
-        snippet_windows, snippet_ranges, text_encodings, extracted_texts, settings_work, settings_merged, nested_roots, run_due, path_verbs, result_labels, formats,
+        snippet_windows, snippet_ranges, text_encodings, extracted_texts, settings_work, settings_merged, nested_roots, run_due, path_verbs, result_labels, error_kinds, formats,
     )
 }
 
@@ -318,6 +331,7 @@ SQL = {
     "nested_roots": _values("inner_root, outer_root", NESTED),
     "run_due": _values("last, due", DUE),
     "path_verbs": _values("path, verb", VERBS),
+    "error_kinds": _values("error, kind", FAILURES),
     "result_labels": _values("found, label", LABELS),
     "formats": _values("what, shown", FORMATS),
 }

@@ -265,6 +265,10 @@ def live_rows(spark: SparkSession, d: str) -> DataFrame:
     return live.live_rows(shown, now.withColumn("path", moved))
 
 
+def progress_by_root(spark: SparkSession, d: str) -> DataFrame:
+    return reports.progress_by_root(_files(spark, d), _ROOTS, 10_000)
+
+
 def overall_progress(spark: SparkSession, d: str) -> DataFrame:
     return reports.overall_progress(_files(spark, d), _ROOTS, 10_000)
 
@@ -277,7 +281,7 @@ QUERIES = {
         page_by_path, newest_per_parent, delete_subtree, delete_outside, delete_ids, delete_paths, dependents,
         oversize_states, reset_pending, classify_scan, stale_paths, insert_missing, update_basic, mime_to_type,
         guess_mime, head_hash, scope_covers, content_allowed, reconcile_content, reconcile_texts, prune_counts, extensions,
-        mtimes_of, rows_in_folder, overall_progress, texts_unpacked, texts_packed, like_escaped_names, live_rows,
+        mtimes_of, rows_in_folder, overall_progress, progress_by_root, texts_unpacked, texts_packed, like_escaped_names, live_rows,
     )
 }
 
@@ -336,6 +340,9 @@ SQL = {
     "overall_progress": f"""SELECT *, CASE WHEN extracted + failed + to_extract > 0 THEN (extracted + failed) / (extracted + failed + to_extract)::DOUBLE END AS share
         FROM (SELECT count(*) AS walked, count_if(content_state = 0 AND size <= 10000)::BIGINT AS to_extract, count_if(content_state = 1)::BIGINT AS extracted,
               count_if(content_state = 2)::BIGINT AS failed FROM files WHERE {' OR '.join(f"starts_with(path, '{r}/')" for r in _ROOTS)})""",
+    "progress_by_root": " UNION ALL ".join(
+        f"""SELECT '{r}' AS root, count(*) AS walked, count_if(content_state = 0 AND size <= 10000)::BIGINT AS to_extract,
+            count_if(content_state = 1)::BIGINT AS extracted FROM files WHERE starts_with(path, '{r}/')""" for r in _ROOTS),
     "texts_unpacked": "SELECT file_id, text FROM documents_text",
     "texts_packed": "SELECT file_id, true AS same_text FROM documents_text",
     "like_escaped_names": "SELECT id FROM files WHERE contains(name, '_')",

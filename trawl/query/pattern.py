@@ -95,7 +95,7 @@ class Pattern:
     def python(self, ci: bool) -> re.Pattern:
         """For cutting snippets on the few rows that come out."""
         joint = "[^\\n]*?"
-        flags = (re.I if self.star else re.I | re.A) if ci else 0
+        flags = re.I | re.A if ci else 0
         return re.compile(joint.join(map(re.escape, self.segments)), flags)
 
 

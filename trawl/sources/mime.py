@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,12 @@ _SUB = [
 ]
 
 
+def known_extensions() -> dict[str, str]:
+    """MIME types by extension: the list above, and what Python's own table has beyond it."""
+    more = mimetypes.MimeTypes(filenames=()).types_map[True]
+    return {e[1:]: m for e, m in sorted(more.items()) if m != "application/octet-stream"} | BY_EXTENSION
+
+
 def type_bits(mime: Column) -> Column:
     """Type bits of a MIME type; 0 without a slash, NULL for NULL. Bits add up: SVG is image and text."""
     parts = F.split(mime, "/", 2)
@@ -88,7 +96,7 @@ def guess_mime(name: Column, head: Column) -> Column:
     from trawl.sources.encoding import looks_like_text
 
     ext = extension_of(name)
-    table = F.create_map(*[F.lit(x) for kv in BY_EXTENSION.items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in known_extensions().items() for x in kv])
     pinned = F.create_map(*[F.lit(x) for kv in PINNED.items() for x in kv])
     magic = F.lit(None).cast("string")
     for bytes_, mime in reversed(MAGIC):

@@ -177,6 +177,11 @@ def tree_scan(spark: SparkSession, config: Config, paths: Sequence[str] | None =
     return files, rows.filter("unreadable").select("path").distinct()
 
 
+def entry_count(spark: SparkSession, config: Config) -> int:
+    """How many files a full run will come to, for its progress; nothing is opened."""
+    return tree_scan(spark, config)[0].count()
+
+
 def head_hash(size: Column, head: Column, length: int = 8 * 1024) -> Column:
     """SHA-256 of the size, as 8 bytes from the lowest, and the first `length` bytes."""
     hex16 = F.lpad(F.hex(size), 16, "0")
