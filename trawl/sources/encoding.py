@@ -49,7 +49,7 @@ def _typical(ch: str, raw: bytes, name: str) -> float:
     if name in ("cp932", "euc_jp"):  # kana run through all Japanese text
         return 1.2 if 0x3041 <= cp <= 0x30FC else 0.6 if 0x4E00 <= cp < 0xA000 or 0x3000 <= cp < 0x3003 else -1.0
     if name == "euc_kr":
-        return 1.0 if 0xAC00 <= cp < 0xD7A4 else -0.5
+        return 1.1 if 0xAC00 <= cp < 0xD7A4 else -0.5  # syllables of Korean are common characters of Chinese as well
     level = raw[0]  # the first byte tells the frequent characters from the rare ones
     often = 0xB0 <= level <= 0xD7 and raw[-1] >= 0xA1 if name == "gbk" else 0xA4 <= level <= 0xC6
     return 1.0 if often else 0.5 if 0x3000 <= cp < 0x3020 or 0xFF00 <= cp < 0xFF60 else -1.0
