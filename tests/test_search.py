@@ -136,7 +136,8 @@ def test_approximate_matches_brute_force():
     for _ in range(60):
         p = bytes(rng.choice(b"abc") for _ in range(rng.randint(3, 9)))
         m = Approximate(p, rng.randint(0, len(p) // 3))
-        texts = [bytes(rng.choice(b"abcd") for _ in range(rng.choice([0, 1, 3, 8, 30]))) for _ in range(10)]
+        texts = [bytes(rng.choice(b"abcd") for _ in range(rng.choice([0, 1, 3, 8, 30]))) for _ in range(rng.choice([2, 10, 30]))]
+        texts += [b"".join(rng.choice([b"dddddddddddd", p, p[:-1] + b"d", b"a"]) for _ in range(40))]
         best, count = m.many(texts)
         for t, b, c in zip(texts, best.tolist(), count.tolist()):
             want = brute(p, t)

@@ -64,6 +64,20 @@ class Approximate:
         for i, b in enumerate(pattern):
             self.masks[b] = self.masks.get(b, 0) | 1 << i
         self.fresh = [(1 << d) - 1 for d in range(k + 1)]
+        cuts = [self.size * i // (k + 1) for i in range(k + 2)]
+        self.pieces = {pattern[a:b] for a, b in zip(cuts, cuts[1:])}
+
+    def regions(self, text: bytes) -> list[tuple[int, int]]:
+        """Where matches may lie: of k + 1 pieces of the pattern one is intact, and the match is not far longer than it."""
+        if b"" in self.pieces:
+            return [(0, len(text))] if text else []
+        reach, found = self.size + self.k, []
+        for piece in self.pieces:
+            at = text.find(piece)
+            while at >= 0:
+                found.append((max(0, at - reach), min(len(text), at + len(piece) + reach)))
+                at = text.find(piece, at + 1)
+        return merge_ranges(found)
 
     def ends(self, text: bytes, restart: bool) -> Iterator[tuple[int, int]]:
         """(end, edits) wherever a match ends; with `restart` the search begins anew behind each."""
@@ -97,7 +111,21 @@ class Approximate:
         return sum(1 for _ in self.ends(text, True))
 
     def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """best() (-1 for none) and count() of many texts, the same step for all of them at once."""
+        """best() (-1 for none) and count() of many texts, by the places where matches may lie.
+
+        No match reaches from one such place to another, so they are searched by themselves.
+        """
+        places = [(i, text[a:b]) for i, text in enumerate(texts) for a, b in self.regions(text)]
+        best, count = np.full(len(texts), self.k + 1, np.int32), np.zeros(len(texts), np.int32)
+        if places:
+            of = np.array([i for i, _ in places])
+            b, c = self._many([x for _, x in places])
+            np.minimum.at(best, of, np.where(b < 0, self.k + 1, b))
+            np.add.at(count, of, c)
+        return np.where(best > self.k, -1, best).astype(np.int32), count
+
+    def _many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """best() and count() of many texts, the same step for all of like length at once; few are gone through one by one."""
         best, count = np.full(len(texts), -1, np.int32), np.zeros(len(texts), np.int32)
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         masks = np.zeros(256, np.uint64)
@@ -111,6 +139,11 @@ class Approximate:
                 end += 1
             end = max(end, at + 1)
             part = order[at:end]
+            if len(part) <= 8:
+                for i in part:
+                    best[i], count[i] = -1 if (b := self.best(texts[i])) is None else b, self.count(texts[i])
+                at = end
+                continue
             longest = len(texts[part[-1]])
             grid = np.frombuffer(b"".join(texts[i].ljust(longest, b"\0") for i in part), np.uint8).reshape(len(part), longest)
             sizes = np.array([len(texts[i]) for i in part])
