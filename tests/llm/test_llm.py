@@ -2,6 +2,7 @@ import math
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -238,6 +239,13 @@ def test_every_chain_has_a_way_back():
     assert tried > 200 and set(mojibake._PRICES) == {(r, w) for r in mojibake.READ_AS for w in mojibake.WERE if r != w}
 
 
+def test_slots_of_one_and_many_pairs():
+    rng = random.Random(7)
+    a, b = ([rng.randint(0, 0x10FFFF) for _ in range(200)] for _ in range(2))
+    many = mojibake.pair_slots(np.array(a, np.uint32), np.array(b, np.uint32)).tolist()
+    assert many == [mojibake.pair_slot(x, y) for x, y in zip(a, b)] and max(many) < 1 << mojibake.BITS
+
+
 def test_margins_come_from_bodies_left_out(spark):
     rows = mojibake.bodies(spark.createDataFrame(list(enumerate(corpus(random.Random(41), 500))), "file_id long, text string"), "file_id", "text", "text_zstd")
     every = mojibake.count_pairs(rows)[2]
