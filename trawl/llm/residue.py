@@ -110,6 +110,7 @@ _UNSURE = re.compile(
     r"(?<![{$#%\w])\{([A-Za-z_][\w -]{0,40})\}(?!\})|%([A-Z][A-Z_]{1,40})%|\$([A-Z][A-Z_]{1,40})\$"
     r"|(?<!\[)\[([A-Z][A-Z _]{1,40})\](?![\](])|«\s?([a-z_]{2,40})\s?»|</?([a-z][a-z_-]{1,40})>|\bTODO: ?([a-z_]+(?: [a-z_]+){0,2})"
 )
+_SURE_NAME = re.compile(r"(?:\{\{|\$\{|#\{|<%=)\s*([A-Za-z_][\w -]{0,40}?)\s*(?:\}|%>)", re.A)
 _MARKS = re.compile(r"[{«]|<[%/a-z]|%[(A-Zsd]|\$[A-Z]|@@|\[[\[A-Zy]|XX|__|TODO")
 _DIGITS = re.compile(r"\d+(?:x[0-9a-f]+)?")
 _APART = re.compile(rf"[^\w\s{MARK}-{DOTS}]+|_+")
@@ -283,7 +284,8 @@ def _simhash_batch(chunk: list[bytes]) -> np.ndarray:
     return np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-WORDING, TEMPLATE, MARKS_ALONE = 0, 1, 2  # the graphs a line is a node of; the last has no links
+WORDING, TEMPLATE = 0, 1  # the graphs a line is a node of
+MARKS_ALONE, NAME = 2, 3  # what stands beside them: lines without links, and names in sure placeholders
 _SLOTS = 1 << 23  # of the bitmap of shingles, whatever their number
 _LINES = "doc_id {}, space int, key long, form string, hash long, trusted boolean, names array<string>"
 
@@ -297,7 +299,8 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, horizon: int) -> Dat
 
     As a wording a line has its normal form; as a template its placeholders, unsure ones
     too, are marks (how far a TODO reaches is open, hence several rows). Lines of nothing
-    but marks are like any other, so they are no node and only come out if trusted.
+    but marks are like any other, so they are no node and only come out if trusted. What
+    sure placeholders of the document are called, in literal samples too, are rows as well.
     """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,6 +321,9 @@ def document_lines(docs: DataFrame, doc_id: str, text: str, horizon: int) -> Dat
                         x[0] = x[0] or sure
                         x[1] = x[1] + names
                 out += [(d, space, f, *x) for (space, f), x in seen.items()]
+            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+                if t and any(x in t for x in ("{{", "${", "#{", "<%=")):
+                    out += [(d, NAME, f, False, []) for f in {name_of(x) for x in _SURE_NAME.findall(t)}]
             ids, spaces, forms, sure, names = zip(*out) if out else ((), (), (), (), ())
             yield pd.DataFrame(
                 {
@@ -539,10 +545,11 @@ def residue_lines(
     hashes = simhashes(seeds).view(np.int64).tolist()
     known = [(WORDING, _key(f), f, h) for f, h in zip(seeds, hashes)]
     known = docs.sparkSession.createDataFrame(known, "space int, key long, form string, hash long")
-    named = sure_names(docs, doc_id, text, name_least)
     while True:
         lines = spill(document_lines(docs, doc_id, text, horizon))
-        nodes = lines.filter(F.col("space") != MARKS_ALONE).groupBy("space", "key").agg(F.first("form").alias("form"), F.first("hash").alias("hash"))
+        named = lines.filter(F.col("space") == NAME).groupBy(F.col("form").alias("name")).agg(F.count_distinct("doc_id").alias("n"))
+        named = named.filter(F.col("n") >= name_least).select("name")
+        nodes = lines.filter(F.col("space") < MARKS_ALONE).groupBy("space", "key").agg(F.first("form").alias("form"), F.first("hash").alias("hash"))
         nodes = spill(nodes)
         by_name = lines.filter("size(names) > 0 and not trusted").withColumn("name", F.explode("names")).join(named, "name", "left_semi")
         sure = [df.select("space", "key", "form", "hash") for df in (lines.filter("trusted"), by_name)]
@@ -555,16 +562,6 @@ def residue_lines(
     return lines.select("doc_id", "space", "key").join(found.select("space", "key"), ["space", "key"], "left_semi").select("doc_id", "key", kind).distinct()
 
 
-def sure_names(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """(name): what stands inside sure placeholders of `least` documents or more."""
-    raw = F.regexp_extract_all(text, F.lit(r"(?:\{\{|\$\{|#\{|<%=)\s*([A-Za-z_][\w -]{0,40}?)\s*(?:\}|%>)"), F.lit(1))
-    named = docs.filter(F.col(text).rlike(r"\{\{|\$\{|#\{|<%=")).select(
-        F.col(doc_id).alias("d"), F.explode(F.array_distinct(raw)).alias("raw")
-    )
-    name = F.regexp_replace(F.lower(F.trim("raw")), r"[\s-]+", "_").alias("name")
-    return named.select("d", name).groupBy("name").agg(F.count_distinct("d").alias("n")).filter(f"n >= {least}").select("name")
-
-
 def residue_documents(docs: DataFrame, **options) -> DataFrame:
     """(doc_id): documents with residue in them, wholly or in part, once each."""
     return residue_lines(docs, **options).select("doc_id").distinct()
