@@ -3,6 +3,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -254,6 +255,53 @@ def test_margins_come_from_bodies_left_out(spark):
     assert mojibake.train(rows, held_out=5)[2] == every - 5
 
 
+def test_every_body_counts_and_sets_the_margins(spark, monkeypatch):
+    rng = random.Random(43)
+    # More words of one script than any share of them would hold, each in one body.
+    texts = [f"{t} {''.join(rng.choice('aeiouñé') for _ in range(6))}ñ{i}" for i, t in enumerate(corpus(rng, 400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+    rows = mojibake.bodies(df, "file_id", "text", "text_zstd")
+    every = mojibake.count_pairs(rows)
+    counted, tallies, count, choose = [], [], mojibake.count_pairs, mojibake.chosen_margins
+    monkeypatch.setattr(mojibake, "count_pairs", lambda rows: counted.append(count(rows)) or counted[-1])
+    monkeypatch.setattr(mojibake, "chosen_margins", lambda tally: tallies.append(tally) or choose(tally))
+    mojibake.repaired(df).collect()
+    assert sum(c[2] for c in counted) == every[2] == 400
+    pairs, singles = (sum(c[k] for c in counted) for k in (0, 1))
+    singles[32] = every[1][32]  # spaces between batches
+    assert (pairs == every[0]).all() and (singles == every[1]).all()
+    # Every different token of either half is judged once a margin, whatever it is.
+    halves = [{w for r in rows.filter(F.pmod("h", F.lit(2)) == k).collect() for w in r.t.split() if not w.isascii()} for k in (0, 1)]
+    assert len(halves[0] | halves[1]) > 400
+    n = tallies[0].groupby(["utf8", "at"])["n"].sum()
+    assert set(n) == {sum(map(len, halves))} and len(n) == sum(map(len, mojibake.GRIDS.values()))
+
+
+def test_margins_are_the_first_of_the_fewest_wrong():
+    def tally(script, utf8, n, changed_below, missed_from, missed):
+        at = range(len(mojibake.GRIDS[utf8]))
+        return pd.DataFrame({"script": script, "utf8": utf8, "at": at, "n": n, "changed": [int(k < changed_below) for k in at], "missed": [missed * (k >= missed_from) for k in at]})
+
+    # 20 misses weigh as a changed token; a script of 1000 tokens weighs as one of 100.
+    both = [tally(0, False, 50, 6, 3, 10_000_000), tally(0, True, 50, 6, 3, 30_000_000)]
+    assert mojibake.chosen_margins(pd.concat(both)) == (10.0, 3.0)
+    assert mojibake.chosen_margins(pd.concat([*both, tally(2, False, 1000, 0, 4, 90_000_000), tally(2, True, 1000, 0, 0, 1)])) == (10.0, 3.0)
+    assert mojibake.chosen_margins(pd.concat([*both, tally(2, False, 100, 0, 4, 90_000_000), tally(2, True, 1000, 8, 0, 0)])) == (7.0, 3.0)
+
+
+def test_the_shortcut_over_the_way_back_changes_no_judgement():
+    texts = corpus(random.Random(47), 300)
+    c = mojibake.codes(" " + " ".join(texts) + " ")
+    pairs, singles = np.bincount(mojibake.pair_slots(c[:-1], c[1:]), minlength=1 << mojibake.BITS), np.bincount(c, minlength=0x110000)
+    probe = mojibake.Fixer(pairs, singles, 300, float("inf"), float("inf"))
+    for utf8, grid in mojibake.GRIDS.items():
+        for chain in mojibake._DAMAGES[utf8]:
+            for t in ("años", "Größe", "папка", "é—", "prüft"):
+                d = mojibake.damage(t, *chain)
+                if d not in (None, t):
+                    assert ((probe.found(d, t, chain, grid[-1]) >= grid) == (probe.best(d, utf8) >= grid)).all(), (t, chain)
+
+
 # 6 --------------------------------------------------------------------------------
 
 
